@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import audio, decontaminate, pii, sharding
+from ledgerline.llm import audio, decontaminate, pii, quality, sharding
 from ledgerline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,7 +33,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_sharding, op6_audio_features, op9_decontamination, op10_pii)}
+    return {f.__name__: f for f in (op4_sharding, op6_audio_features, op7_quality_classifier, op9_decontamination, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
