@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import audio, decontaminate, packing, pii, quality, sharding
+from ledgerline.llm import audio, decontaminate, neardup, packing, pii, quality, sharding
 from ledgerline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_sharding, op6_audio_features, op7_quality_classifier, op9_decontamination, op10_pii)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_sharding, op6_audio_features, op7_quality_classifier, op9_decontamination, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
