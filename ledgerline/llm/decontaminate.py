@@ -207,14 +207,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -
     )
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with every removal span cut out of the text; all columns stay."""
+def removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_items: int | None = None, size_col: str | None = None) -> DataFrame:
+    """The documents with every removal span cut out of the text; all columns stay.
+
+    With ``drop_items``, documents in which windows of so many items occur are dropped whole, and so are those
+    of which no word is left. ``size_col``, if given, gets the new number of characters of a text that was cut.
+    """
     found = scan(docs, benchmark, text_col)
-    at = docs.columns.index(text_col)
+    if drop_items is not None:
+        found = found.where(F.size("decon_items") < drop_items)
+    at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+            sizes = batch.column(size).to_pylist() if size_col else []
+            words = batch.column(batch.num_columns - 3).to_pylist()
             for k, hits in enumerate(batch.column(ADDED[1]).to_pylist()):
                 if hits:
                     raw, to, out = texts[k].encode(), 0, []
@@ -222,8 +230,12 @@ def removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Da
                         out.append(raw[to : h["byte_first"]])
                         to = h["byte_end"]
                     texts[k] = b"".join([*out, raw[to:]]).decode()
-            arrays = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-3])
+                    keep[k] = drop_items is None or sum(h["end"] - h["first"] for h in hits) < words[k]
+                    if size_col:
+                        sizes[k] = len(texts[k])
+            new = {at: texts} | ({size: sizes} if size_col else {})
+            arrays = [pa.array(new[k], batch.schema.field(k).type) if k in new else batch.column(k) for k in range(batch.num_columns - 3)]
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-3]).filter(pa.array(keep))
 
     return found.mapInArrow(cut, docs.schema)
 

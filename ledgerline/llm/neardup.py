@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import textvec
@@ -295,3 +295,14 @@ def duplicates(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", t
     joined = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = sig.join(joined, same, "left").withColumn("component_id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("rep", "id").alias("class_id"))
+
+
+def kept(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id; all columns stay.
+
+    Of rows that repeat an id the one with the smallest text stays; rows with a null id all stay.
+    """
+    decided = duplicates(docs, s, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    one = docs.join(decided, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    return one.unionAll(docs.where(F.col(id_col).isNull()))

@@ -241,13 +241,22 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with the spans of ``text_col`` replaced; all columns stay."""
-    at = docs.columns.index(text_col)
+def redacted(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """The documents with the spans of ``text_col`` replaced; all columns stay.
+
+    ``size_col``, if given, gets the new number of characters of a text that was changed.
+    """
+    at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+            old = batch.column(at).to_pylist()
+            texts = [redact(t) for t in old]
+            new = {at: texts}
+            if size_col:
+                sizes = batch.column(size).to_pylist()
+                new[size] = [n if x == y else len(y) for n, x, y in zip(sizes, old, texts, strict=True)]
+            arrays = [pa.array(new[k], batch.schema.field(k).type) if k in new else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
