@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import audio, decontaminate, neardup, packing, pii, quality, sharding
+from ledgerline.llm import audio, decontaminate, neardup, packing, parsing, pii, quality, sharding, substring
 from ledgerline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_sharding, op6_audio_features, op7_quality_classifier, op9_decontamination, op10_pii)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_substring_dedup, op4_sharding, op5_suffix_array_dedup, op6_audio_features, op7_quality_classifier, op9_decontamination, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
