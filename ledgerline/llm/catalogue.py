@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import audio, decontaminate, neardup, packing, parsing, pii, quality, sharding, substring
+from ledgerline.llm import audio, decontaminate, language, neardup, packing, parsing, pii, quality, sharding, substring
 from ledgerline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_substring_dedup, op4_sharding, op5_suffix_array_dedup, op6_audio_features, op7_quality_classifier, op9_decontamination, op10_pii)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_substring_dedup, op4_sharding, op5_suffix_array_dedup, op6_audio_features, op7_quality_classifier, op8_language_model, op9_decontamination, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
