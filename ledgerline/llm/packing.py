@@ -52,7 +52,7 @@ class Coder:
     Python counts as white space is encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
@@ -141,7 +141,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 256, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 1024, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document's token ids and the end token."""
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
