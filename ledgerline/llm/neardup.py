@@ -7,9 +7,10 @@
 3. In each bucket of a band that has several members, a hub is chosen by aggregation, and every member is
    compared with the hub, so a bucket of n members gives n pairs. Pairs whose sketches rule them out are
    dropped; the rest are confirmed by the full sets, and components are formed.
-4. Members of one bucket that are in different components by now are compared with each other by sketch,
-   in blocks of bounded size, and what passes is confirmed. So no link between different sets is lost,
-   while a group of near copies, which has become one component in step 3, gives no pairs again.
+4. Members of one bucket that are in different components by now are compared with each other, in blocks of
+   bounded size: by size, by sketch and by the full sets, and only links leave a task, at most one for two
+   components. So no link between different components is lost, while a group of near copies, most of which
+   has become one component in step 3, is not compared pair by pair again.
 
 Components grow by alternating large-star and small-star steps over written tables. Nothing but counts
 reaches the driver.
@@ -44,7 +45,7 @@ class Settings:
     bands: int = 28
     rows: int = 5
     sketch: int = 512
-    block: int = 256
+    block: int = 512
 
     @property
     def samples(self) -> int:
@@ -178,8 +179,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                 good = np.zeros(part.num_rows, bool)
                 left, right = (_columns(part.column(k), s.shingle) for k in (2, 3))
                 for k, (x, y) in enumerate(zip(left, right, strict=True)):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    good[k] = shared > 0 and 100 * shared >= s.percent * (len(x) + len(y) - shared)
+                    good[k] = _similar(x, y, s)
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -222,48 +222,82 @@ def _close(a: Column, b: Column, s: Settings) -> Column:
 
 
 def _compared(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of members (bucket, id, component, sketch) of one bucket and different components that sketches leave possible.
+    """Links (a, b) between members of one bucket and different components.
 
-    A bucket is dealt to blocks of about ``block`` members; every two blocks meet in a group of their own, so
-    no task holds more than two blocks of a bucket at a time.
+    ``members`` has (bucket, id, component, n_shingles, bands, sketch, text). A bucket is dealt to blocks of
+    about ``block`` members; every two blocks meet in a group of their own, so no task holds more than two
+    blocks of a bucket at a time. Two members are compared in the first bucket that they share only: sizes
+    and sketches first, then the full sets. A link joins two components for the rest of the group, so a group
+    gives fewer links than it has members.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.countDistinct("component").alias("kinds")).where("kinds > 1")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     n = F.ceil(F.col("size") / s.block).cast("int")
     dealt = members.join(sizes, "bucket").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.struct(F.least(other, "block").alias("x"), F.greatest(other, "block").alias("y")))
-    spread = dealt.withColumn("meet", F.explode(meets)).select("bucket", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "block", "id", "component", "sketch")
+    spread = dealt.withColumn("meet", F.explode(meets)).select("bucket", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "block", "id", "component", "n_shingles", "bands", "sketch", "text")
     limit = most_different_bits(s)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def edges_of(rows: pa.RecordBatch) -> np.ndarray:
+        keys = np.stack([rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        return np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held = batch if held is None else pa.concat_batches([held, batch])
-            keys = np.stack([held.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-            edges = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-            if len(edges):
-                yield from groups(held.slice(0, edges[-1]), np.concatenate([[0], edges]))
-                held = held.slice(edges[-1])
-        if held is not None and held.num_rows:
-            keys = np.stack([held.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-            edges = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-            yield from groups(held, np.concatenate([[0], edges, [held.num_rows]]))
-
-    def groups(rows: pa.RecordBatch, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, y, block, ids, kinds = (rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4, 5))
-        raw = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            left = np.arange(a, b) if x[a] == y[a] else a + np.flatnonzero(block[a:b] == x[a])
-            right = left if x[a] == y[a] else a + np.flatnonzero(block[a:b] == y[a])
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for i in left:
-                near = right[(kinds[right] != kinds[i]) & (np.bitwise_count(raw[right] ^ raw[i]).sum(1) <= limit)]
-                near = near[ids[near] > ids[i]] if x[a] == y[a] else near
-                if len(near):
-                    found.append((np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
-
-    return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(pairs, "a long, b long").distinct()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                edges = edges_of(part)
+                opens = held and any(held[-1].column(k)[held[-1].num_rows - 1] != part.column(k)[0] for k in range(3))
+                if opens:
+                    yield from groups(held)
+                    held = []
+                if len(edges):
+                    yield from groups([*held, part.slice(0, int(edges[-1]))])
+                    held, part = [], part.slice(int(edges[-1]))
+                held.append(part)
+        if held:
+            yield from groups(held)
+
+    def groups(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_batches(parts)
+        edges = edges_of(rows)
+        for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [rows.num_rows]]), strict=True):
+            links = linked(rows.slice(int(a), int(b - a)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    def linked(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        bucket, x, y, block, ids, kinds, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        kinds = kinds.copy()
+        bands = rows.column(7).flatten().to_numpy().reshape(rows.num_rows, -1)
+        raw = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        band = int(np.argmax(bands[0] == bucket[0]))
+        left = np.flatnonzero(block == x[0])
+        right = left if x[0] == y[0] else np.flatnonzero(block == y[0])
+        sets, out = None, []
+        for i in left.tolist():
+            near = right[kinds[right] != kinds[i]]
+            if right is left:
+                near = near[near > i]
+            near = near[100 * np.minimum(sizes[near], sizes[i]) >= s.percent * np.maximum(sizes[near], sizes[i])]
+            near = near[np.bitwise_count(raw[near] ^ raw[i]).sum(1) <= limit]
+            near = near[~(bands[near, :band] == bands[i, :band]).any(1)]
+            for j in near.tolist():
+                if kinds[i] == kinds[j]:
+                    continue
+                if sets is None:
+                    sets = _columns(rows.column(9), s.shingle)
+                if _similar(sets[i], sets[j], s):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    kinds[kinds == kinds[j]] = kinds[i]
+        return out
+
+    return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= s.percent * (len(x) + len(y) - shared)
 
 
 def duplicates(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,20 +310,20 @@ def duplicates(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", t
     buckets = reps.select(F.explode("bands").alias("bucket"), "id")
     hubs = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "bucket").alias("order"), F.col("id"))).alias("hub")).where("size > 1")
     members = written(buckets.join(hubs.select("bucket", F.col("hub.id").alias("hub")), "bucket"), "members")
-    sketches = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts, sketches = written(texts, "texts"), written(sketches, "sketches")
+    chosen = written(members.select("id").distinct(), "chosen")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left_semi").dropDuplicates(["id"])
+    texts = written(texts.join(reps.join(chosen, "id", "left_semi").select("id", "n_shingles", "bands", "sketch"), "id"), "texts")
 
     stars = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    stars = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    stars = written(stars.where(_close(F.col("sketch_a"), F.col("sketch_b"), s)).select("a", "b"), "stars")
-    links = written(_confirmed(stars, texts, s), "links")
+    stars = stars.join(texts.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    stars = stars.where(_close(F.col("sketch_a"), F.col("sketch_b"), s)).select("a", "b")
+    links = written(_confirmed(stars, texts.select("id", "text"), s), "links")
     first = written(components(links), "components")
 
     labelled = members.select("bucket", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = _compared(labelled.join(mixed, "bucket", "left_semi").join(sketches, "id"), s).join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(rest, "pairs"), texts, s), "links")
+    rest = written(labelled.join(mixed, "bucket", "left_semi"), "mixed")
+    more = written(_compared(rest.join(texts, "id"), s).distinct(), "links")
     final = components(links.unionAll(more)) if more.head(1) else first
 
     joined = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
