@@ -51,7 +51,8 @@ def even_odd(nested: DataFrame) -> DataFrame:
     """Area and centroid of figures from rows (figure, depth, area, cx, cy): rings at odd depth are holes."""
     signed = F.when(F.col("depth") % 2 == 0, F.abs("area")).otherwise(-F.abs("area"))
     out = nested.groupBy("figure").agg(F.sum(signed).alias("area"), F.sum(signed * F.col("cx")).alias("mx"), F.sum(signed * F.col("cy")).alias("my"))
-    return out.select("figure", "area", (F.col("mx") / F.col("area")).alias("cx"), (F.col("my") / F.col("area")).alias("cy"))
+    solid = F.col("area") != 0
+    return out.select("figure", "area", F.when(solid, F.col("mx") / F.col("area")).alias("cx"), F.when(solid, F.col("my") / F.col("area")).alias("cy"))
 
 
 def lengths(edges: DataFrame, positions: DataFrame) -> DataFrame:

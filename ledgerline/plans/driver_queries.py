@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.catalogue import register
 from ledgerline.functions import units
-from ledgerline.operators import budget, frames, geometry, graph, lookup, resolution, review
+from ledgerline.operators import budget, frames, geometry, graph, lookup, regions, resolution, review, rules, surface
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -467,3 +467,74 @@ def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = orders.agg(F.max("o_orderkey").alias("m"))
     claims = orders.join(F.broadcast(last)).select(F.col("o_orderkey").alias("id"), F.when((F.col("o_orderkey") % 3 < 2) & (F.col("o_orderkey") < F.col("m")), F.col("o_orderkey") + 1).alias("superseded_by"))
     return graph.chain(claims).select("id", "current")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle for each supplier, from its key and balance."""
+    s = _table(spark, sf_dir, "supplier")
+    x, y = (F.col("s_suppkey") % 17).cast("double") * 3, (F.col("s_suppkey") % 11).cast("double") * 4
+    w, h = (F.col("s_suppkey") % 5 + 2).cast("double"), (F.col("s_nationkey") % 4 + 1).cast("double") * 1.5
+    corners = F.array(*[F.struct(F.lit(k).alias("ord"), (x + dx * w).alias("x"), (y + dy * h).alias("y")) for k, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    return s.select(F.col("s_suppkey").alias("figure"), F.lit(0).alias("ring"), F.explode(corners).alias("c")).select("figure", "ring", "c.ord", "c.x", "c.y")
+
+
+_SUPPLIER_BOXES = "f AS (SELECT s_suppkey AS k, (s_suppkey % 17) * 3.0::DOUBLE AS x0, (s_suppkey % 11) * 4.0::DOUBLE AS y0, x0 + (s_suppkey % 5 + 2) AS x1, y0 + (s_nationkey % 4 + 1) * 1.5::DOUBLE AS y1 FROM supplier)"
+_MEETING = f"{_SUPPLIER_BOXES}, p AS (SELECT a.k AS a, b.k AS b, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h, (a.x1 - a.x0) * (a.y1 - a.y0) AS area_a, (b.x1 - b.x0) * (b.y1 - b.y0) AS area_b FROM f a JOIN f b ON a.k < b.k WHERE w >= 0 AND h >= 0)"
+
+
+@register("region_overlay", f"WITH {_MEETING} SELECT a, b, round(w * h, 4) AS common, round(area_a + area_b - w * h, 4) AS together FROM p WHERE w * h > 0")
+def region_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figs = regions.figures(_boxes(spark, sf_dir), 1e-6)
+    pairs = regions.meeting(figs, figs, 10.0).where("a < b")
+    common = regions.overlay(pairs, "intersection", 1e-6).where("area > 0").select("a", "b", F.round("area", 4).alias("common"))
+    return common.join(regions.overlay(pairs, "union", 1e-6).select("a", "b", F.round("area", 4).alias("together")), ["a", "b"])
+
+
+@register("region_containment", f"WITH {_MEETING} SELECT a, b, CASE WHEN w * h = 0 THEN 'touching' WHEN w * h = area_a AND w * h = area_b THEN 'coincident' WHEN w * h = area_b THEN 'inside' WHEN w * h = area_a THEN 'surrounds' ELSE 'overlapping' END AS state FROM p")
+def region_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figs = regions.figures(_boxes(spark, sf_dir), 1e-6)
+    return regions.containment(regions.meeting(figs, figs, 10.0).where("a < b"), 1e-6)
+
+
+@register("region_figures", f"WITH {_SUPPLIER_BOXES} SELECT k AS figure, round((x1 - x0) * (y1 - y0), 4) AS area, round(2 * (x1 - x0 + y1 - y0), 4) AS perimeter FROM f")
+def region_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.figures(_boxes(spark, sf_dir), 1e-6).select("figure", F.round("area", 4).alias("area"), F.round("perimeter", 4).alias("perimeter"))
+
+
+@register("buildable", f"WITH {_SUPPLIER_BOXES} SELECT k AS figure, CASE WHEN k % 7 = 0 THEN 'refused' WHEN least(x1 - x0, y1 - y0) <= 2 THEN 'consumed' ELSE 'region' END AS status, CASE WHEN k % 7 > 0 AND least(x1 - x0, y1 - y0) > 2 THEN round((x1 - x0 - 2) * (y1 - y0 - 2), 1) END AS area FROM f WHERE least(x1 - x0, y1 - y0) <> 2")
+def buildable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = _boxes(spark, sf_dir)
+    size = rings.groupBy("figure").agg(F.least(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("least")).where("least <> 2").select("figure")
+    figs = regions.figures(rings.join(size, "figure"), 1e-6)
+    edges = geometry.sides(rings.select(F.col("figure").alias("ring"), "ord", "x", "y")).select(F.col("ring").alias("figure"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.when((F.col("ring") % 7 > 0) | (F.col("ord") > 0), 1.0).alias("setback"))
+    left = regions.buildable(figs, edges, 1e-3)
+    return left.select("figure", "status", F.when(F.col("status") == "region", F.round("area", 1)).alias("area"))
+
+
+@register("surface_elevation")
+def surface_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevations of grid points on one triangulated surface for each event type, from its first shots by id."""
+    events = _table(spark, sf_dir, "events")
+    one = events.groupBy("event_type", (F.floor(F.col("value") / 25)).alias("gx"), ((F.col("event_id") % 97) / 10).cast("int").alias("gy")).agg(F.min(F.struct(F.col("event_id").alias("shot"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"), F.col("user_id").cast("double").alias("z"))).alias("s"))
+    shots = one.select(F.col("event_type").alias("region"), "s.shot", "s.x", "s.y", "s.z", F.lit(0.02).alias("sigma"))
+    grid = spark.createDataFrame(_GRID, "query int, x double, y double").crossJoin(events.select(F.col("event_type").alias("region")).distinct())
+    return surface.elevations(grid, surface.facets(shots)).select("query", "region", F.round("z", 5).alias("z"), F.round("sigma", 6).alias("sigma"))
+
+
+@register("bound_rules", "SELECT 'required-claim' AS rule, count(*) AS rules, 0::BIGINT AS ran, count(*) AS unimplemented FROM part UNION ALL SELECT 'contained-areas-sum', count(*), count(*), 0 FROM part WHERE p_size > 25")
+def bound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    params = F.create_map(F.lit("predicate"), F.array(F.lit("width")))
+    rule = lambda name: F.struct(F.lit(name).alias("check"), params.alias("params"))
+    types = part.select(F.col("p_type").alias("name")).distinct().withColumn("invariants", F.array(rule("required-claim")))
+    nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"))
+    asserted = part.where("p_size > 25").select(F.col("p_partkey").alias("subject"), F.lit("contained-areas-sum").alias("check"), params.alias("params"))
+    none = spark.createDataFrame([], "check string, subject string, message string")
+    return rules.tallies(rules.bound(types, nodes, asserted), none).select(F.col("check").alias("rule"), "rules", "ran", "unimplemented")
+
+
+@register("session_windows", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id AS session, count(*) AS n FROM s GROUP BY user_id, s.n""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("at"))
+    return events.groupBy("session", F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("session", "n")
