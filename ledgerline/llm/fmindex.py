@@ -18,23 +18,35 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     seps = np.flatnonzero(text == 0)
-    rank = text.astype(np.uint64) + _U(len(seps))
-    rank[seps] = np.arange(len(seps), dtype=np.uint64)
-    key, step = rank, 0
-    while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        fresh = np.empty(n, bool)
-        if n:
-            fresh[0] = True
-            np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
-        if fresh.all():
-            return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
-        step = step * 2 or 1
-        key = rank << _U(32)
-        key[: n - step] |= rank[step:]
+    key = text.astype(np.int64) + len(seps)
+    key[seps] = np.arange(len(seps))
+    if n:  # two symbols at once; a separator needs none behind it
+        key = key << 32
+        key[:-1] |= np.where(text[:-1] == 0, 0, key[1:] >> 32)
+    order = np.argsort(key)
+    ordered = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, n))
+    rank = np.empty(n, np.int64)  # the place of the first of equals
+    rank[order] = np.repeat(begin, size)
+    # Only what is still equal is sorted further, each group within its own places.
+    step, places = 2, np.flatnonzero(np.repeat(size > 1, size))
+    while len(places):
+        live = order[places]
+        group = rank[live]
+        following = np.where(live + step < n, rank[np.minimum(live + step, n - 1)] + 1, 0)
+        inner = np.argsort(group << 32 | following)
+        live, group, following = live[inner], group[inner], following[inner]
+        order[places] = live
+        opens = np.concatenate([[True], group[1:] != group[:-1]])
+        fresh = np.flatnonzero(opens | np.concatenate([[True], following[1:] != following[:-1]]))
+        first = np.flatnonzero(opens)
+        base = np.repeat(first, np.diff(np.append(first, len(live))))
+        size = np.diff(np.append(fresh, len(live)))
+        rank[live] = group + np.repeat(fresh, size) - base
+        places = places[np.repeat(size > 1, size)]
+        step *= 2
+    return order
 
 
 class WaveletMatrix:

@@ -46,18 +46,38 @@ def _dictionary_ranks(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
         part[: max(0, n - k)] = symbols[k:]
         part[room <= k] = 0
         key = key << _U(9) | part
-    step, most = packed, int(room.max(initial=0))
-    while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])).astype(np.uint64)
-        if step >= most:
-            return rank
-        key = rank << _U(32)
-        ahead = np.flatnonzero(room > step)
-        key[ahead] |= rank[ahead + step]
+    order = np.argsort(key)
+    ordered = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    size = np.diff(np.append(begin, n))
+    rank = np.empty(n, np.int64)  # the place of the first of equals
+    rank[order] = np.repeat(begin, size)
+    # Only groups of equals of which one goes on are sorted further, each within its own places.
+    step = packed
+    live = order[np.repeat(size > 1, size)]
+    while len(live):
+        group = rank[live]
+        on = room[live] > step
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(edge, len(live)))
+        keep = np.repeat(np.logical_or.reduceat(on, edge), size)
+        live, group, on = live[keep], group[keep], on[keep]
+        if not len(live):
+            break
+        following = np.zeros(len(live), np.int64)
+        following[on] = rank[live[on] + step] + 1
+        inner = np.argsort(group << 32 | following)
+        live, group, following = live[inner], group[inner], following[inner]
+        opens = np.concatenate([[True], group[1:] != group[:-1]])
+        fresh = opens | np.concatenate([[True], following[1:] != following[:-1]])
+        at = np.arange(len(live))
+        first, mine = np.flatnonzero(opens), np.flatnonzero(fresh)
+        base = np.repeat(first, np.diff(np.append(first, len(live))))
+        size = np.diff(np.append(mine, len(live)))
+        rank[live] = group + np.repeat(at[mine], size) - base
+        live = live[np.repeat(size > 1, size)]
         step *= 2
+    return rank.astype(np.uint64)
 
 
 def corpus_order(data: np.ndarray, first: np.ndarray, positions: np.ndarray, trigger: int = TRIGGER, modulus: int = MODULUS) -> np.ndarray:
