@@ -6,8 +6,8 @@ shard of its anchor, where an index of the shard finds the windows that occur mo
 parameter (an FM-index over words, or suffix order from prefix-free parsing over bytes). What it finds goes
 back to all copies, and every document is cut once.
 
-An anchor with more than ``hot`` different segments, such as the words before and after a passage that a
-large share of all documents quote, is not sent to one shard: its windows are told apart by their hashes,
+An anchor with more different segments than a shard is meant to hold, such as the words before and after a
+passage that a large share of all documents quote, is not sent to one shard: its windows are told apart by their hashes,
 which are added up before they are exchanged. So no group is held by one task, whatever the corpus.
 
 Texts are exchanged once, by a hash of id and text, for both the fetch of units and the final cut. Hashes of
@@ -42,7 +42,12 @@ class Method:
     words: bool
     index: Index
     shard_units: int
-    hot: int = 2000
+    hot: int | None = None
+
+    @property
+    def most_segments(self) -> int:
+        """Different segments of one anchor that a shard takes: as many as fit it, at two windows' length each."""
+        return self.hot if self.hot is not None else self.shard_units // (2 * self.routing.window)
 
 
 def _units(column: pa.Array, words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -185,7 +190,7 @@ def repeated(docs: DataFrame, m: Method, id_col: str = "doc_id", text_col: str =
     shared = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     held = written(find_segments(texts, m).join(shared, "anchor", "left_semi"), "segments")
     kinds = written(held.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("at")), "kinds")
-    crowded = kinds.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > m.hot).select("anchor")
+    crowded = kinds.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > m.most_segments).select("anchor")
     by_key = texts.repartition("key")
 
     def payload(chosen: DataFrame) -> DataFrame:
