@@ -1,6 +1,6 @@
 """Removal of long repeated passages: windows that occur twice anywhere in the corpus.
 
-Documents become segments (see ``segments``) of which only hashes are exchanged at first. Anchors that occur
+Documents become segments (see ``segments``) of which only hashes are exchanged at first. Anchors that stand
 once are done with. Of the others, equal segments are added up, and the units of one copy of each go to the
 shard of its anchor, where an index of the shard finds the windows that occur more than once; the index is a
 parameter (an FM-index over words, or suffix order from prefix-free parsing over bytes). What it finds goes
@@ -63,17 +63,17 @@ def _units(column: pa.Array, words: bool) -> Iterator[tuple[int, np.ndarray, np.
 
 
 def find_segments(texts: DataFrame, m: Method) -> DataFrame:
-    """Rows (key, anchor, seg, start, n) of the segments of (key, text)."""
+    """Rows (key, anchor, seg, start, n, anchors) of the segments of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, codes, first, _ in _units(batch.column(1), m.words):
-                anchor, seg, doc, start, n = segments.segments(codes, first, m.routing)
+                anchor, seg, doc, start, n, anchors = segments.segments(codes, first, m.routing)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[a + doc], anchor.view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32))], ["key", "anchor", "seg", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[a + doc], anchor.view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32), anchors.astype(np.int8))], ["key", "anchor", "seg", "start", "n", "anchors"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, anchor long, seg long, start int, n int")
+    return texts.select("key", "text").mapInArrow(run, "key long, anchor long, seg long, start int, n int, anchors byte")
 
 
 def _cut(fetched: DataFrame, m: Method) -> DataFrame:
@@ -187,8 +187,8 @@ def repeated(docs: DataFrame, m: Method, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
     rows = find_segments(texts, m)
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    held = written(find_segments(texts, m).join(shared, "anchor", "left_semi"), "segments")
+    shared = rows.groupBy("anchor").agg(F.sum("anchors").alias("c")).where("c > 1").select("anchor")
+    held = written(find_segments(texts, m).drop("anchors").join(shared, "anchor", "left_semi"), "segments")
     kinds = written(held.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("at")), "kinds")
     crowded = kinds.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > m.most_segments).select("anchor")
     by_key = texts.repartition("key")

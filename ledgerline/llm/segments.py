@@ -63,17 +63,25 @@ class Routing:
     most: int  # windows of a segment at most
 
 
-def segments(codes: np.ndarray, first: np.ndarray, r: Routing) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, segment hash, document, first unit in the document and number of windows of every segment.
+def segments(codes: np.ndarray, first: np.ndarray, r: Routing) -> tuple[np.ndarray, ...]:
+    """Anchor, segment hash, document, first unit in the document, number of windows and of anchors of every segment.
 
-    ``codes`` are the units of some documents, document d having the units first[d] to first[d + 1].
+    ``codes`` are the units of some documents, document d having the units first[d] to first[d + 1]. A segment
+    in which the anchor stands more than once counts 2 anchors: it may repeat a window by itself.
     """
     n = len(codes) - r.window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
     rolling = Rolling(codes)
-    anchors = sliding_least(rolling.windows(r.gram), r.window - r.gram + 1)
+    grams, width = rolling.windows(r.gram), r.window - r.gram + 1
+    # The first and the last place of the least gram of each window: places fill the low bits of the hashes.
+    low = _U((1 << max(20, len(grams).bit_length())) - 1)
+    places = np.arange(len(grams), dtype=np.uint64)
+    high = grams & ~low
+    first_place = (sliding_least(high | places, width) & low).astype(np.int64)
+    last_place = (low - (sliding_least(high | (low - places), width) & low)).astype(np.int64)
+    anchors = grams[first_place]
     row = textvec.row_of(first, len(codes))
     inside = row[:n] == row[r.window - 1 :]
     fresh = np.ones(n, bool)
@@ -92,4 +100,5 @@ def segments(codes: np.ndarray, first: np.ndarray, r: Routing) -> tuple[np.ndarr
         at = start
     hashes = rolling.ranges(at, at + size + r.window - 1)
     doc = row[at]
-    return anchors[at], hashes, doc, at - first[doc], size
+    twice = first_place[at] != last_place[at + size - 1]
+    return anchors[at], hashes, doc, at - first[doc], size, 1 + twice.astype(np.int64)

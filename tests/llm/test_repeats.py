@@ -42,6 +42,9 @@ def corpus(seed, scale=1):
             parts += [r.choice(passages), prose(r.randint(0, 15 * scale))]
         rows.append((k, r.choice([" ", "\n", " \t"]).join(parts)))
     rows += [(100, rows[3][1]), (101, rows[3][1]), rows[4], (None, rows[5][1]), (102, None), (103, ""), (104, "go " * 4000), (105, "ab" * 3000)]
+    for k, n in enumerate((36, 40, 44, 60, 80)):  # short periods that stand in one document only
+        rows.append((200 + k, f"u{k} " + f"only{k} " * n + "v"))
+        rows.append((300 + k, f"x{k}. " + f"p{k} q{k} r{k} " * n + "y"))
     rows += [(106, passages[3]), (107, passages[3] + " x")]
     return rows
 
@@ -109,7 +112,7 @@ def test_corpus_order_is_the_suffix_order(parts):
 def test_segments_cover_every_window_once(docs, window):
     codes = textvec.mix(np.array([x + 1 for d in docs for x in d], np.uint64))
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-    anchor, _, doc, start, n = seg.segments(codes, first, Routing(window, 2, 7))
+    anchor, _, doc, start, n, anchors = seg.segments(codes, first, Routing(window, 2, 7))
     got = sorted((d, s + k) for d, s, m in zip(doc, start, n, strict=True) for k in range(m))
     assert got == [(d, k) for d, x in enumerate(docs) for k in range(len(x) - window + 1)]
     by = {}
@@ -117,3 +120,6 @@ def test_segments_cover_every_window_once(docs, window):
         for k in range(s, s + m):
             by.setdefault(tuple(docs[d][k : k + window]), set()).add(a)
     assert all(len(v) == 1 for v in by.values())
+    for d, s, m, a in zip(doc, start, n, anchors, strict=True):  # a window that a segment holds twice is announced
+        own = [tuple(docs[d][k : k + window]) for k in range(s, s + m)]
+        assert a == 2 or len(set(own)) == len(own)
