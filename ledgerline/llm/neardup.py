@@ -158,7 +158,8 @@ def signatures(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", t
                 samples = minhashes(values, first, s.samples)
                 digests = []
                 for salt in (1, 2):
-                    total = np.concatenate([[0], np.cumsum(textvec.mix(values * _U(2) + _U(salt)) * _U(2 * salt + 1))]).astype(np.uint64)
+                    total = np.zeros(len(values) + 1, np.uint64)
+                    np.cumsum(textvec.mix(values * _U(2) + _U(salt)) * _U(2 * salt + 1), out=total[1:])
                     digests.append(pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)))
                 bands = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * s.bands, np.ascontiguousarray(band_keys(samples, s).T).view(np.int64).ravel())
                 sketch = pa.array([row.tobytes() for row in odd_sketches(samples, s.sketch)], pa.binary())

@@ -128,6 +128,14 @@ def test_sketches_estimate_similarity():
         assert abs((samples[:, 0] == samples[:, 1]).mean() - true) < 0.12
 
 
+def test_equal_sets_are_one_class_wherever_they_stand(spark):
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randint(0, 999)}" for _ in range(r.randint(50, 900))) for _ in range(120)]
+    rows = [(k, texts[k % 120]) for k in range(360)]
+    got = {x.doc_id: x.class_id for x in neardup.duplicates(frame(spark, rows).coalesce(1)).collect()}
+    assert got == {k: k % 120 for k in range(360)}
+
+
 def test_sets_are_distinct_and_counted():
     for _, values, first in neardup.shingle_sets(pa.array(["a b c a b c", "", None, "A b", "a b"]), 3):
         assert np.diff(first).tolist() == [3, 0, 0, 1, 1] and values[3] == values[4]
