@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.scratch import written
+
 
 def sides(rings: DataFrame) -> DataFrame:
     """Every side (ring, ord, x, y, x2, y2), the last one back to the first corner."""
@@ -161,17 +163,15 @@ def coincident(points: DataFrame, tolerance: float, key: list[str]) -> DataFrame
     Candidates meet in the cells of a grid of the tolerance's size and its neighbours; components grow by
     least labels until nothing changes.
     """
-    from ledgerline.operators.graph import _written
-
     gx, gy = F.floor(F.col("x") / tolerance), F.floor(F.col("y") / tolerance)
     own = points.withColumns({"gx": gx, "gy": gy})
     around = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     spread = own.select(*key, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), around.alias("g")).select(*key, "other", "ox", "oy", "g.gx", "g.gy")
-    links = _written(own.join(spread, [*key, "gx", "gy"]).where((F.col("id") != F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance)).select("id", "other"))
+    links = written(own.join(spread, [*key, "gx", "gy"]).where((F.col("id") != F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance)).select("id", "other"), "coincident")
     labels = points.select("id", F.col("id").alias("label"))
     while True:
         step = links.join(labels.select(F.col("id").alias("other"), F.col("label").alias("l")), "other").groupBy("id").agg(F.min("l").alias("l"))
-        moved = _written(labels.join(step, "id", "left").select("id", F.least("label", F.coalesce("l", "label")).alias("label"), (F.coalesce("l", "label") < F.col("label")).alias("changed")))
+        moved = written(labels.join(step, "id", "left").select("id", F.least("label", F.coalesce("l", "label")).alias("label"), (F.coalesce("l", "label") < F.col("label")).alias("changed")), "labels")
         labels = moved.select("id", "label")
         if not moved.where("changed").head(1):
             break

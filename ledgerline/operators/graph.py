@@ -7,23 +7,13 @@ written to the shared folder, and only whether a frontier is empty reaches the d
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/ledgerline/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ledgerline.scratch import dropped, written
 
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -35,7 +25,7 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataF
         at += 1
         step = frontier.join(edges, frontier["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
         known = reduce(DataFrame.unionAll, seen).select("start", "node")
-        frontier = _written(step.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(at)))
+        frontier = written(step.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(at)), "walk")
         if not frontier.head(1):
             break
         seen.append(frontier)
@@ -69,10 +59,13 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     while True:
         kept = now.join(now.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
         kept = kept.join(now.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        kept = _written(kept.select("source", "target"))
-        if kept.count() == now.count():
-            break
+        kept = written(kept.select("source", "target"), "peeled")
+        done = kept.count() == now.count()
+        if len(now.inputFiles()) and "/ledgerline/peeled-" in now.inputFiles()[0]:
+            dropped(now)
         now = kept
+        if done:
+            break
     reach = walk(now, now.select(F.col("source").alias("start")))
     direct = now.where("source = target").select(F.col("source").alias("id"))
     back = reach.join(now, (reach["node"] == now["source"]) & (now["target"] == reach["start"])).select(F.col("start").alias("id"))
