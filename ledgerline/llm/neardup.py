@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import textvec
-from ledgerline.llm.common import written
+from ledgerline.llm.common import dropped, written
 
 _U = np.uint64
 
@@ -205,7 +205,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        last, now = now, written(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        if before is not None:
+            dropped(last)
         size, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if (size, total) == before:
             break
