@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.kernels import plane
+from ledgerline.operators import frames
 
 FIGURE = "array<array<struct<x:double,y:double>>>"
 
@@ -175,3 +176,12 @@ def plan(nodes: DataFrame, figs: DataFrame, claims: DataFrame | None = None) ->
         return out
     notes = claims.where("live").groupBy(F.col("subject").alias("id")).agg(F.sort_array(F.collect_list(F.struct("predicate", "value"))).alias("annotations"))
     return out.join(notes, "id", "left")
+
+
+def carried(figs: DataFrame, steps: DataFrame, levels: int = 8) -> DataFrame:
+    """Figures (figure, frame, rings) with their corners carried up to the root frame."""
+    corners = figs.select("figure", "frame", F.posexplode("rings").alias("r", "ring")).select("figure", "frame", "r", F.posexplode("ring").alias("k", "p"))
+    moved = frames.at_root(corners.select("figure", "frame", "r", "k", "p.x", "p.y", F.lit(0.0).alias("z")), steps, levels)
+    rings = moved.groupBy("figure", "root", "r").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("c"))
+    whole = rings.groupBy("figure", "root").agg(F.array_sort(F.collect_list(F.struct("r", F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("c")))).alias("rings"))
+    return whole.select("figure", F.col("root").alias("frame"), F.transform("rings", lambda r: r["c"]).alias("rings"))

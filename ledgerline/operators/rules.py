@@ -33,11 +33,12 @@ def _loops_close(rules: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 
 def _areas_sum(rules: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """The areas of what a subject contains against its own, within a tolerance; ``kind`` and ``type`` narrow."""
-    bound = rules.select("subject", F.element_at("params", "tolerance")[0].alias("tolerance"), F.element_at("params", "kind")[0].alias("kind"), F.element_at("params", "type")[0].alias("type"))
+    """The areas of what a subject contains against its own, within a tolerance; ``kind``, ``type`` and ``zone`` narrow."""
+    bound = rules.select("subject", F.element_at("params", "tolerance")[0].alias("tolerance"), F.element_at("params", "kind")[0].alias("kind"), F.element_at("params", "type")[0].alias("type"), F.element_at("params", "zone")[0].alias("zone"))
     bound = bound.join(F.broadcast(t["tolerances"].select(F.col("name").alias("tolerance"), F.col("value").alias("floor"))), "tolerance")
-    inner = t["nodes"].select("id", F.col("kind").alias("k"), F.col("type").alias("ty"), F.col("within").alias("subject")).join(t["areas"].select(F.col("figure").alias("id"), F.col("area").alias("part")), "id")
-    joined = bound.join(inner, "subject").where("(kind is null or kind = k) and (type is null or type = ty)")
+    zones = F.col("member_of") if "member_of" in t["nodes"].columns else F.array().cast("array<string>")
+    inner = t["nodes"].select("id", F.col("kind").alias("k"), F.col("type").alias("ty"), zones.alias("zones"), F.col("within").alias("subject")).join(t["areas"].select(F.col("figure").alias("id"), F.col("area").alias("part")), "id")
+    joined = bound.join(inner, "subject").where("(kind is null or kind = k) and (type is null or type = ty) and (zone is null or array_contains(zones, zone))")
     sums = joined.groupBy("subject", "floor").agg(F.sum("part").alias("parts"))
     own = t["areas"].select(F.col("figure").alias("subject"), "area")
     diff = F.abs(F.col("parts") - F.col("area"))

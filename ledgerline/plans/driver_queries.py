@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.catalogue import register
 from ledgerline.functions import units
-from ledgerline.operators import budget, frames, geometry, graph, lookup, regions, resolution, review, rules, surface
+from ledgerline.operators import arcs, budget, frames, geometry, graph, lookup, regions, resolution, review, rules, surface
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -538,3 +538,16 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("at"))
     return events.groupBy("session", F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("session", "n")
+
+
+@register("arc_measures", """WITH a AS (SELECT p_partkey AS id, (p_size + 1)::DOUBLE AS r, (p_partkey % 360) * pi() / 180 AS a, (p_partkey % 7 + 1) * pi() / 9 AS s FROM part)
+SELECT id, round(r, 6) AS radius, round(CASE WHEN id % 2 = 0 THEN s ELSE s - 2 * pi() END, 6) AS sweep, round(r * abs(CASE WHEN id % 2 = 0 THEN s ELSE s - 2 * pi() END), 6) AS length FROM a""")
+def arc_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, a, s = (F.col("p_size") + 1).cast("double"), F.radians((F.col("p_partkey") % 360).cast("double")), F.radians((F.col("p_partkey") % 7 + 1) * 20.0)
+    middle = F.when(F.col("p_partkey") % 2 == 0, a + s / 2).otherwise(a + s / 2 + F.lit(3.141592653589793))
+    at = lambda t: (F.cos(t) * r, F.sin(t) * r)
+    points = {"1": at(a), "2": at(a + s), "t": at(middle), "c": (F.lit(0.0), F.lit(0.0))}
+    columns = [c.alias(n) for k, (x, y) in points.items() for n, c in ((f"x{k}", x), (f"y{k}", y)) if k in "12"]
+    columns += [c.alias(n) for k in "tc" for n, c in ((f"{k}x", points[k][0]), (f"{k}y", points[k][1]))]
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *columns)
+    return arcs.measured(rows).select("id", *[F.round(c, 6).alias(c) for c in ("radius", "sweep", "length")])
