@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,17 @@ def rings(model: Model) -> DataFrame:
     return rows.withColumn("corner", F.when(forward, F.col("start")).otherwise(F.col("end"))).drop("next_start", "next_end")
 
 
+def assembled(model: Model) -> DataFrame:
+    """(node, loop, fault) of every boundary: why its edges are no ring (or no run, for a line), or null."""
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("edge_ord")
+        fault = plane.assembly(list(zip(frame["edge"], frame["start"], frame["end"], strict=True)), bool((frame["geometry"] == "line").iloc[0]))
+        return pd.DataFrame([(key[0], key[1], fault)], columns=["node", "loop", "fault"])
+
+    return boundary_edges(model).groupBy("node", "loop").applyInPandas(one, "node string, loop string, fault string")
+
+
 def figures(model: Model, position: str, tolerance: float) -> DataFrame:
     """Regions of all nodes with closed boundaries; a ring with a corner that has no position has no region."""
     closed = rings(model).where("not open")

@@ -214,8 +214,8 @@ def read_files(spark: SparkSession, root: str, extension: str = "dfc") -> DataFr
     return found.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def load_model(spark: SparkSession, root: str) -> Model:
-    """The model of all ``.dfc`` files below a folder."""
+def load_model(spark: SparkSession, root: str, keep: bool = True) -> Model:
+    """The model of all ``.dfc`` files below a folder; with ``keep`` the parsed rows are cached, as every table reads them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -223,6 +223,8 @@ def load_model(spark: SparkSession, root: str) -> Model:
             yield pd.DataFrame(rows, columns=["table", "row"])
 
     forms = read_files(spark, root).mapInPandas(run, "table string, row string")
+    if keep:
+        forms = forms.persist()
     return Model({name: forms.where(F.col("table") == name).select(F.from_json("row", f"{schema}, {_WHERE}").alias("r")).select("r.*") for name, schema in SCHEMAS.items()})
 
 

@@ -64,6 +64,7 @@ def test_measures(model):
 
 
 def test_relations(model):
+    assert {r.node: r.fault for r in q.assembled(model).collect()} == {"site:F": None, "site:L": None, "site:R": None, "site:K": None}
     assert {(r.a, r.b, tuple(r.via)) for r in q.adjacent(model).collect() if "L" in r.a + r.b and "R" in r.a + r.b} == {("site:L", "site:R", ("g:be",)), ("site:R", "site:L", ("g:be",))}
     assert {r.edge: r.boundary for r in q.classification(model).collect()}["g:be"] == "physical"
     assert [(r.node, r.depth) for r in q.traverse(model, "site:P", "contains").collect()] == [("site:B", 1), ("site:F", 2), ("site:K", 3), ("site:L", 3), ("site:R", 3), ("site:W", 3)]
@@ -99,9 +100,7 @@ def test_revisions(spark, model, tmp_path):
     assert q.compare(model, model).count() == 0
 
 
-@pytest.mark.parametrize(
-    ("argv", "code", "part"),
-    [
+COMMANDS = [
         (["list-types"], 0, '"name":"Room"'),
         (["list-instances", "Room"], 0, "site:R"),
         (["list-instances", "Hall"], 1, "[]"),
@@ -123,9 +122,18 @@ def test_revisions(spark, model, tmp_path):
         (["fmt", "--check"], 3, "m.dfc"),
         (["version"], 0, "version"),
         (["add-node", '{"id": "site:N", "kind": "Space", "type": "Nothing"}'], 3, "undeclared type"),
-    ],
-)
-def test_commands(spark, root, argv, code, part):
+]
+
+
+@pytest.mark.parametrize(("argv", "code", "part"), COMMANDS, ids=[c[0][0] for c in COMMANDS])
+def test_commands(spark, root, model, monkeypatch, argv, code, part):
+    monkeypatch.setattr(entity, "load_model", lambda *_: model)  # one model, loaded and checked once
+    monkeypatch.setattr(entity.Model, "faults", lambda self: model.diagnostics.withColumn("subject", model.diagnostics.path))
     got, text = run(spark, [argv[0], *argv[1:], "--root", root])
     assert got == code and part in text
     assert json.loads(text)["kind"] == argv[0]
+
+
+def test_a_faulty_model_answers_nothing(spark, tmp_path):
+    code, text = run(spark, ["list-types", "--root", write(tmp_path / "f", "(node site:R (kind Space) (type Hall))")])
+    assert code == 3 and "undeclared type Hall" in text

@@ -106,3 +106,23 @@ def test_surface_refusals_and_weights():
     with pytest.raises(ValueError, match="collinear"):
         plane.triangulate([(0, 0), (1, 1), (2, 2)])
     assert plane.barycentric((0.25, 0.25), (0, 0), (1, 0), (0, 1)) == pytest.approx((0.5, 0.25, 0.25))
+
+
+@pytest.mark.parametrize(
+    ("edges", "run", "fault"),
+    [
+        (["ab", "bc", "ca"], False, None),
+        (["ab", "cb", "ca"], False, None),
+        (["ab", "bc", "ca", "ab"], False, "written twice"),
+        (["ab", "bc"], False, "does not close"),
+        (["ab", "bc"], True, None),
+        (["ab", "bc", "ca"], True, "comes back"),
+        (["ab", "bc", "bd"], True, "more than two"),
+        (["ab", "bc", "ca", "de", "ef", "fd"], False, "in pieces"),
+        (["ab", "cd", "bc", "da"], False, "not in the order"),
+    ],
+)
+def test_assembly(edges, run, fault):
+    named = [(e, e[0], e[1]) for e in edges]
+    got = plane.assembly(named, run)
+    assert got is None if fault is None else fault in got
