@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm import decontaminate, neardup, packing, pii, quality
 from ledgerline.llm.common import table, written
 
+#: Words that packing keeps in a worker: fewer than on its own, since the workers have done the other stages.
+KEEP = 100_000
 NEAR = neardup.Settings(shingle=5, percent=80, bands=40)
 
 
@@ -41,7 +43,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    return packing.packed(docs, keep=KEEP)
 
 
 STAGES = [

@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,60 +129,74 @@ def occurrences(phrases: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndar
     return n_words, merged, pairs
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items, in blocks of about ``block_bytes`` of text that the driver holds one at a time."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[int, int, list[tuple[str, str]]]]:
+    """Number, count and items of blocks of about ``block_bytes`` of text, which the driver holds one at a time."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        yield [(r.name, r.text) for r in part.toLocalIterator()]
+        yield k, n, [(r.name, r.text) for r in part.toLocalIterator()]
 
 
 #: What ``scan`` adds; documents that have columns of these names lose them.
 ADDED = ("decon_words", "decon_hits", "decon_items")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with the columns ``ADDED``: words, merged hit spans (of words and of UTF-8 bytes), and sorted item names."""
+Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def scan(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish: tuple[Finish, T.StructType] | None = None
+) -> DataFrame:
+    """The documents with the columns ``ADDED``: words, merged hit spans (of words and of UTF-8 bytes), and sorted item names.
+
+    ``finish`` is a last step on the batches, in the same Python process, and its schema.
+    """
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
     spans = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("first", T.IntegerType()), ("end", T.IntegerType()), ("byte_first", T.LongType()), ("byte_end", T.LongType()))]))
     added = [T.StructField(n, t) for n, t in zip(ADDED, (T.LongType(), spans, T.ArrayType(T.StringType())), strict=True)]
+    at = docs.columns.index(text_col)
     out = docs
-    for number, items in enumerate(_blocks(benchmark, item_col, text_col, block_bytes)):
+    for number, blocks, items in _blocks(benchmark, item_col, text_col, block_bytes):
         shared = spark.sparkContext.broadcast(Phrases(items, window))
-        at = docs.columns.index(text_col)
+        last = finish if number == blocks - 1 else None
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at, later=bool(number)) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=bool(number), last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n_words, merged, pairs = occurrences(phrases, batch.column(at))
-                hits: list[list] = [[] for _ in range(batch.num_rows)]
-                names: list[set] = [set() for _ in range(batch.num_rows)]
-                for doc, *span in merged.tolist():
-                    hits[doc].append(span)
-                for found in pairs:
-                    for doc, item in found.tolist():
-                        names[doc].add(phrases.items[item])
-                if later:
-                    for k, (old, more) in enumerate(zip(batch.column(ADDED[1]).to_pylist(), batch.column(ADDED[2]).to_pylist(), strict=True)):
-                        hits[k] = _union([*map(list, (tuple(h.values()) for h in old)), *hits[k]])
-                        names[k] |= set(more)
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("byte_first", pa.int64()), ("byte_end", pa.int64())]))
-                keys = ("first", "end", "byte_first", "byte_end")
-                own = [
-                    pa.array(n_words),
-                    pa.array([[dict(zip(keys, s, strict=True)) for s in h] for h in hits], kind),
-                    pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                ]
-                before = batch.columns[: batch.num_columns - 3 * later]
-                yield pa.RecordBatch.from_arrays([*before, *own], [*batch.schema.names[: len(before)], *ADDED])
-
-        out = out.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+                found = _added(shared.value, batch, at, later)
+                yield last[0](found) if last else found
+
+        out = out.mapInArrow(run, last[1] if last else T.StructType([*docs.schema.fields, *added]))
     return out
 
 
+def _added(phrases: Phrases, batch: pa.RecordBatch, at: int, later: bool) -> pa.RecordBatch:
+    """A batch with its hits, or, for a later block of items, with more hits than before."""
+    n_words, merged, pairs = occurrences(phrases, batch.column(at))
+    hits: list[list] = [[] for _ in range(batch.num_rows)]
+    names: list[set] = [set() for _ in range(batch.num_rows)]
+    for doc, *span in merged.tolist():
+        hits[doc].append(span)
+    for found in pairs:
+        for doc, item in found.tolist():
+            names[doc].add(phrases.items[item])
+    if later:
+        for k, (old, more) in enumerate(zip(batch.column(ADDED[1]).to_pylist(), batch.column(ADDED[2]).to_pylist(), strict=True)):
+            hits[k] = _union([*map(list, (tuple(h.values()) for h in old)), *hits[k]])
+            names[k] |= set(more)
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("byte_first", pa.int64()), ("byte_end", pa.int64())]))
+    keys = ("first", "end", "byte_first", "byte_end")
+    own = [
+        pa.array(n_words),
+        pa.array([[dict(zip(keys, s, strict=True)) for s in h] for h in hits], kind),
+        pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+    ]
+    before = batch.columns[: batch.num_columns - 3 * later]
+    return pa.RecordBatch.from_arrays([*before, *own], [*batch.schema.names[: len(before)], *ADDED])
+
+
 def _union(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for span in sorted(spans):
@@ -213,31 +228,31 @@ def removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_
     With ``drop_items``, documents in which windows of so many items occur are dropped whole, and so are those
     of which no word is left. ``size_col``, if given, gets the new number of characters of a text that was cut.
     """
-    found = scan(docs, benchmark, text_col)
-    if drop_items is not None:
-        found = found.where(F.size("decon_items") < drop_items)
     at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col else -1
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            sizes = batch.column(size).to_pylist() if size_col else []
-            words = batch.column(batch.num_columns - 3).to_pylist()
-            for k, hits in enumerate(batch.column(ADDED[1]).to_pylist()):
-                if hits:
-                    raw, to, out = texts[k].encode(), 0, []
-                    for h in hits:
-                        out.append(raw[to : h["byte_first"]])
-                        to = h["byte_end"]
-                    texts[k] = b"".join([*out, raw[to:]]).decode()
-                    keep[k] = drop_items is None or sum(h["end"] - h["first"] for h in hits) < words[k]
-                    if size_col:
-                        sizes[k] = len(texts[k])
-            new = {at: texts} | ({size: sizes} if size_col else {})
-            arrays = [pa.array(new[k], batch.schema.field(k).type) if k in new else batch.column(k) for k in range(batch.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-3]).filter(pa.array(keep))
-
-    return found.mapInArrow(cut, docs.schema)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, hits, items = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
+        counts = pc.list_value_length(items).to_numpy(zero_copy_only=False)
+        keep = np.ones(batch.num_rows, bool) if drop_items is None else counts < drop_items
+        touched = np.flatnonzero(keep & (counts > 0))
+        new: dict[int, list] = {at: [], size: []}
+        for k in touched.tolist():
+            raw, to, out, gone = batch.column(at)[k].as_py().encode(), 0, [], 0
+            for h in hits[k].as_py():
+                out.append(raw[to : h["byte_first"]])
+                to, gone = h["byte_end"], gone + h["end"] - h["first"]
+            new[at].append(b"".join([*out, raw[to:]]).decode())
+            new[size].append(len(new[at][-1]))
+            keep[k] = drop_items is None or gone < words[k].as_py()
+        mask = np.zeros(batch.num_rows, bool)
+        mask[touched] = True
+        kinds = [c for c in (at, size) if c >= 0]
+        columns = batch.columns[:-3]
+        for c in kinds:
+            columns[c] = pc.replace_with_mask(columns[c], pa.array(mask), pa.array(new[c], columns[c].type))
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names[:-3]).filter(pa.array(keep))
+
+    return scan(docs, benchmark, text_col, finish=(cut, docs.schema))
 
 
 def kept(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, text_col: str = "text") -> DataFrame:

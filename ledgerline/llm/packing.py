@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import written
 
 CAPACITY, END = 4096, 1
+#: Words that a worker keeps with their ids, in each of two generations; about 200 bytes each.
+KEEP = 700_000
 _CONTROL = "\x1c\x1d\x1e\x1f"
 
 
@@ -52,7 +54,7 @@ class Coder:
     Python counts as white space is encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
@@ -128,10 +130,11 @@ class Coder:
 _CODERS: dict[str, Coder] = {}
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, keep: int) -> Coder:
     """The worker's own coder for a vocabulary file."""
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
+    _CODERS[path].keep = keep
     return _CODERS[path]
 
 
@@ -141,7 +144,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 1024, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 1024, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document's token ids and the end token."""
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -150,7 +153,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 10
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
+        code = coder(path, keep)
         for batch in batches:
             for at in range(0, batch.num_rows, group):
                 part = batch.slice(at, group)
@@ -164,6 +167,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 10
                 ids = part.column(0).take(pa.array(columns[0]))
                 arrays = [ids, *(pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True))][: len(names)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        code.old = {}  # the worker may live on for other work
+        if len(code.new) > keep:
+            code.new = {}
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -348,9 +354,9 @@ def placed(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep: int = KEEP) -> DataFrame:
     """Every piece of every document with the sequence and the offset where it stands."""
-    rows = written(pieces(docs, path or vocabulary(), capacity), "pieces")
+    rows = written(pieces(docs, path or vocabulary(), capacity, keep=keep), "pieces")
     histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = best_plan(histogram, capacity)
     order = ranked(rows, "length", ["doc_id", "piece", "ids_crc32", "start"], "rank")

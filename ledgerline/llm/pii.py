@@ -249,14 +249,16 @@ def redacted(docs: DataFrame, text_col: str = "text", size_col: str | None = Non
     at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column(at).to_pylist()
-            texts = [redact(t) for t in old]
-            new = {at: texts}
-            if size_col:
-                sizes = batch.column(size).to_pylist()
-                new[size] = [n if x == y else len(y) for n, x, y in zip(sizes, old, texts, strict=True)]
-            arrays = [pa.array(new[k], batch.schema.field(k).type) if k in new else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                old = batch.column(at).to_pylist()
+                texts = [redact(t) for t in old]
+                new = {at: texts}
+                if size_col:
+                    sizes = batch.column(size).to_pylist()
+                    new[size] = [n if x == y else len(y) for n, x, y in zip(sizes, old, texts, strict=True)]
+                arrays = [pa.array(new[n], batch.schema.field(n).type) if n in new else c for n, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

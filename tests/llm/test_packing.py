@@ -30,7 +30,7 @@ MARKS = st.text(alphabet="aZéÉ.,'sdT1 \t\n\x1d ΣσßİÁ<|endoftext|>!?-世
 def test_ids_are_the_tokenizers(whole, texts):
     texts = [*texts, "don't stop, It's 12.5 <|endoftext|>x"]
     want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
-    got = [np.frombuffer(b, "<u4").tolist() for b in packing.coder(packing.vocabulary()).ids(texts)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.coder(packing.vocabulary(), packing.KEEP).ids(texts)]
     assert got == want
 
 
