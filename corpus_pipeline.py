@@ -43,7 +43,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, keep=KEEP)
+    return packing.packed(docs, keep=KEEP, release=True)
 
 
 STAGES = [

@@ -144,8 +144,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 1024, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document's token ids and the end token."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 1024, with_ids: bool = False, keep: int = KEEP, release: bool = False) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document's token ids and the end token.
+
+    With ``release`` a worker gives up its older words at the end of a task, as it may live on for other work.
+    """
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -167,9 +170,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 10
                 ids = part.column(0).take(pa.array(columns[0]))
                 arrays = [ids, *(pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True))][: len(names)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
-        code.old = {}  # the worker may live on for other work
-        if len(code.new) > keep:
-            code.new = {}
+        if release:
+            code.old = {}
+            if len(code.new) > keep:
+                code.new = {}
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -354,9 +358,9 @@ def placed(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep: int = KEEP) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep: int = KEEP, release: bool = False) -> DataFrame:
     """Every piece of every document with the sequence and the offset where it stands."""
-    rows = written(pieces(docs, path or vocabulary(), capacity, keep=keep), "pieces")
+    rows = written(pieces(docs, path or vocabulary(), capacity, keep=keep, release=release), "pieces")
     histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = best_plan(histogram, capacity)
     order = ranked(rows, "length", ["doc_id", "piece", "ids_crc32", "start"], "rank")
