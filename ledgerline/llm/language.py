@@ -9,8 +9,8 @@ document is a token and a class of its own.
 
 Training is truncated backpropagation in numpy, on a share of the training documents: every task trains a
 replica on its rows, and the replicas are averaged by aggregation, weighted by the tokens that each learned from, ``rounds``
-times. The state is carried from window to window of a document and reset between documents, in training and
-in scoring, so a score is the log-likelihood of the complete document.
+times, each round over every token of its rows. The state is carried from window to window of a document and
+reset between documents, in training and in scoring, so a score is the log-likelihood of the complete document.
 
 Scoring deals documents to blocks of about ``block_bytes``; the distinct words of a block fetch their counts
 by a join, and block and counts meet in one group. No count table is ever broadcast.
@@ -50,6 +50,7 @@ class Settings:
     rounds: int = 2
     train_share: float = 1 / 16
     train_least: int = 2_000_000  # tokens that the share is raised to on smaller corpora
+    train_tokens: int = 1 << 20  # tokens laid out in lanes at once
     block_bytes: int = 32 << 20
 
     @property
@@ -178,21 +179,27 @@ class Network:
     def run(self, symbols: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
         """States before each token of a (time, lane) window; ``fresh`` marks first tokens of documents."""
         h = self.s.hidden
+        x_all, ended = self.x[symbols], (~fresh).astype(np.float32)[:, :, None]
         before, caches = np.empty((*symbols.shape, h), np.float32), []
+        if keep:
+            caches = [np.empty((*symbols.shape, n), np.float32) for n in (2 * h, h, h)]
         for t in range(len(symbols)):
-            state = state * ~fresh[t][:, None]
-            before[t] = state
-            x, u = self.x[symbols[t]], state @ self.u
-            gates = x[:, : 2 * h] + u[:, : 2 * h]
+            state = np.multiply(state, ended[t], out=before[t])
+            x, u = x_all[t], state @ self.u
+            gates = np.add(x[:, : 2 * h], u[:, : 2 * h], out=caches[0][t] if keep else None)
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
+            new = np.multiply(r, u[:, 2 * h :], out=caches[1][t] if keep else None)
+            new += x[:, 2 * h :]
+            np.tanh(new, out=new)
             if keep:
-                caches.append((z, r, new, u[:, 2 * h :]))
-            state = new + z * (state - new)
+                caches[2][t] = u[:, 2 * h :]
+            state = state - new
+            state *= z
+            state += new
         return before, state, caches
 
     def log_probabilities(self, before: np.ndarray, symbols: np.ndarray, grads: Network | None = None, weight: np.ndarray | None = None):
@@ -208,34 +215,36 @@ class Network:
         out = own - np.log(total)
         back = None
         if grads is not None:
-            logits /= total[:, None]
-            logits[who, kind] -= 1
-            logits *= weight[:, None]
+            logits *= (weight / total)[:, None]
+            logits[who, kind] -= weight
             grads.wc += before.T @ logits
             grads.bc += logits.sum(0)
             back = logits @ self.wc.T
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.s.classes + 1))
-        for c in range(self.s.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
-                continue
-            states = before[at]
-            inner = states @ self.ww[c]
-            inner += self.bw[c]
-            inner -= inner.max(1, keepdims=True)
-            row = np.arange(len(at))
-            mine = inner[row, place[at]]
-            np.exp(inner, out=inner)
-            total = inner.sum(1)
-            out[at] += mine - np.log(total)
-            if grads is not None:
-                inner /= total[:, None]
-                inner[row, place[at]] -= 1
-                inner *= weight[at][:, None]
-                grads.ww[c] += states.T @ inner
-                grads.bw[c] += inner.sum(0)
-                back[at] += inner @ self.ww[c].T
+        order = order[: edges[-1]]
+        if not len(order):
+            return out, back
+        states, row, mine = before[order], np.arange(len(order)), place[order]
+        ranges = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
+        inner = np.empty((len(order), self.s.per_class), np.float32)
+        for c, at in ranges:
+            np.matmul(states[at], self.ww[c], out=inner[at])
+            inner[at] += self.bw[c]
+        inner -= inner.max(1, keepdims=True)
+        chosen = inner[row, mine]
+        np.exp(inner, out=inner)
+        total = inner.sum(1)
+        out[order] += chosen - np.log(total)
+        if grads is not None:
+            inner *= (weight[order] / total)[:, None]
+            inner[row, mine] -= weight[order]
+            into = np.empty_like(states)
+            for c, at in ranges:
+                grads.ww[c] += states[at].T @ inner[at]
+                np.matmul(inner[at], self.ww[c].T, out=into[at])
+            grads.bw[[c for c, _ in ranges]] += np.add.reduceat(inner, [at.start for _, at in ranges])
+            back[order] += into
         return out, back
 
     def gradients(self, symbols: np.ndarray, fresh: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[Network, np.ndarray, float]:
@@ -246,17 +255,27 @@ class Network:
         weight = (live / max(1, live.sum())).astype(np.float32).ravel()
         logp, back = self.log_probabilities(before.reshape(-1, h), symbols.ravel(), grads, weight)
         back = back.reshape(before.shape)
-        dh = np.zeros_like(state)
+        (gates, new, u), ended = caches, (~fresh).astype(np.float32)[:, :, None]
+        z, r = gates[:, :, :h], gates[:, :, h:]
+        # What a state's gradient is multiplied by on its way to the three parts of a step.
+        to_new = (1 - z) * (1 - new * new)
+        outer = np.stack([(before - new) * z * (1 - z), to_new * u * r * (1 - r), to_new], 2)
+        dh, all_dh = np.zeros_like(state), np.empty_like(before)
+        inner = outer.copy()
+        inner[:, :, 2] *= r
         for t in range(len(symbols) - 1, -1, -1):
-            z, r, new, u = caches[t]
-            prior = before[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (prior - new) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], 1)
-            grads.u += prior.T @ da
-            np.add.at(grads.x, symbols[t], np.concatenate([dz, dr, dn], 1))
-            dh = (dh * z + da @ self.u.T + back[t]) * ~fresh[t][:, None]
+            all_dh[t] = dh
+            inner[t] *= dh[:, None]
+            dh = dh * z[t]
+            dh += inner[t].reshape(-1, 3 * h) @ self.u.T
+            dh += back[t]
+            dh *= ended[t]
+        outer *= all_dh[:, :, None]
+        grads.u += before.reshape(-1, h).T @ inner.reshape(-1, 3 * h)
+        order = np.argsort(symbols.ravel(), kind="stable")
+        own = symbols.ravel()[order]
+        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        grads.x[own[begin]] += np.add.reduceat(outer.reshape(-1, 3 * h)[order], begin)
         return grads, after, float(-(logp * weight).sum())
 
 
@@ -273,10 +292,11 @@ def lanes(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Stream:
-    """Documents laid out in lanes as a dense (time, lane) table of symbols."""
+    """Documents laid out in lanes as a dense (time, lane) table of symbols; no more lanes than the longest document fills."""
 
     def __init__(self, symbols: np.ndarray, first: np.ndarray, n: int, pad: int):
         lengths = np.diff(first)
+        n = min(n, -(-len(symbols) // max(1, int(lengths.max(initial=1)))))
         lane, place, longest = lanes(lengths, n)
         width = max(1, min(n, len(lengths)))
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -290,31 +310,45 @@ class Stream:
         self.fresh[place, lane] = True
 
 
-def train_replica(net: Network, symbols: np.ndarray, first: np.ndarray, done: float = 0.0) -> tuple[Network, int]:
-    """One pass of Adam over some documents, and the tokens it learned from; ``done`` is the share of the rounds behind.
+class Adam:
+    """The running moments of one replica."""
+
+    def __init__(self, net: Network):
+        self.mean, self.square, self.step = np.zeros_like(net.values), np.zeros_like(net.values), 0
+
+    def move(self, net: Network, g: np.ndarray, rate: float) -> None:
+        norm = float(np.sqrt((g * g).sum()))
+        if norm > 1:
+            g = g / norm
+        self.step += 1
+        self.mean += 0.1 * (g - self.mean)
+        self.square += 0.01 * (g * g - self.square)
+        net.values -= rate * min(1, self.step / 20) * (self.mean / (1 - 0.9**self.step)) / (np.sqrt(self.square / (1 - 0.99**self.step)) + 1e-6)
+
 
-    It ends when three quarters of the lanes are through, so that the last words of the longest documents,
-    alone, do not undo what was learned from all.
+def train_replica(net: Network, symbols: np.ndarray, first: np.ndarray, done: float = 0.0, adam: Adam | None = None) -> tuple[Network, int]:
+    """One pass of Adam over every token of some documents, and their number; ``done`` is the share of the rounds behind.
+
+    Windows with few live cells, as the last ones of the longest documents, add up to a quarter of a full
+    window before a step is taken, each token with the same weight; what is left takes a step as small as it is.
     """
     s = net.s
+    adam = adam or Adam(net)
     stream = Stream(symbols, first, s.train_lanes, s.symbols - 1)
-    mean, square, step, learned = np.zeros_like(net.values), np.zeros_like(net.values), 0, 0
+    rate, least = s.rate * (1 - 0.7 * done), s.window * s.train_lanes / 4
     state = np.zeros((stream.symbols.shape[1], s.hidden), np.float32)
+    total, cells, learned = np.zeros_like(net.values), 0, 0
     for t in range(0, len(stream.symbols), s.window):
         part = slice(t, t + s.window)
-        if stream.live[part].mean() < 0.25:
-            break
-        learned += int(stream.live[part].sum())
+        live = int(stream.live[part].sum())
         grads, state, _ = net.gradients(stream.symbols[part], stream.fresh[part], stream.live[part], state)
-        g = grads.values
-        norm = float(np.sqrt((g * g).sum()))
-        if norm > 1:
-            g /= norm
-        step += 1
-        mean += 0.1 * (g - mean)
-        square += 0.01 * (g * g - square)
-        rate = s.rate * (1 - 0.7 * done) * min(1, step / 20)
-        net.values -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+        total += grads.values * live
+        cells, learned = cells + live, learned + live
+        if cells >= least:
+            adam.move(net, total / cells, rate)
+            total[:], cells = 0, 0
+    if cells:
+        adam.move(net, total / cells, rate * cells / least)
     return net, learned
 
 
@@ -351,6 +385,17 @@ def _coded(column: pa.Array, v: Vocabulary, s: Settings) -> tuple[np.ndarray, np
     return np.concatenate(symbols), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(hashes)
 
 
+def _parts(column: pa.Array, v: Vocabulary, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and first symbols of runs of whole documents of about ``train_tokens`` tokens."""
+    sizes = np.diff(textvec.flat(column)[1])
+    step = np.cumsum(sizes) // (6 * s.train_tokens)  # about six bytes a token
+    edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        symbols, first, _ = _coded(column.slice(a, b - a), v, s)
+        if len(symbols):
+            yield symbols, first
+
+
 def _averaged(sample: DataFrame, net: Network, v: Vocabulary, done: float) -> Network:
     """One round: replicas trained by the tasks of ``sample`` and averaged, weighted by what each learned from."""
     shared = sample.sparkSession.sparkContext.broadcast((net.values, v))
@@ -359,10 +404,10 @@ def _averaged(sample: DataFrame, net: Network, v: Vocabulary, done: float) -> Ne
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, vocabulary = shared.value
         replica, weight = Network(s, values.copy()), 0
+        adam = Adam(replica)
         for batch in batches:
-            symbols, first, _ = _coded(batch.column(0), vocabulary, s)
-            if len(symbols):
-                replica, learned = train_replica(replica, symbols, first, done)
+            for symbols, first in _parts(batch.column(0), vocabulary, s):
+                replica, learned = train_replica(replica, symbols, first, done, adam)
                 weight += learned
         if weight:
             size = 256

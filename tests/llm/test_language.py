@@ -92,3 +92,23 @@ def test_state_is_carried_over_windows():
 def test_tail_classes_are_in_range():
     found = [t for _, _, t, _ in language.tokens(pa.array(["abc É. 12 x, zé ! aß", None]))]
     assert found[0].tolist()[0] == 3 and all(0 <= t < language.TAILS for t in found[0])
+
+
+def test_every_token_of_long_documents_is_learned():
+    s = language.DEFAULT
+    g = np.random.default_rng(5)
+    for lengths in ([5] * 95 + [1000], [200] * 60 + [20_000], [200] * 300 + [20_000] * 2, [1]):
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        symbols = g.integers(0, s.symbols, first[-1])
+        begin = language.Network.initial(s, vocabulary(s))
+        net, learned = language.train_replica(language.Network(s, begin.values.copy()), symbols, first)
+        assert learned == first[-1] and np.isfinite(net.values).all() and (net.values != begin.values).any()
+
+
+def test_parts_hold_every_document():
+    s = language.Settings(train_tokens=3)
+    column, v = pa.array([f"a{k} the stone " * (k % 5) for k in range(60)] + [None, ""]), vocabulary(s)
+    parts = list(language._parts(column, v, s))
+    symbols, first, _ = language._coded(column, v, s)
+    assert len(parts) > 5 and np.array_equal(np.concatenate([x for x, _ in parts]), symbols)
+    assert np.array_equal(np.concatenate([np.diff(f) for _, f in parts]), np.diff(first))
