@@ -7,9 +7,9 @@ letter, letters beyond ASCII); its class is predicted from the state, and its sh
 the counts, smoothed like the base score, so every word, seen or not, has a probability. The end of a
 document is a token and a class of its own.
 
-Training is truncated backpropagation in numpy, on a share of the training documents: every task trains a
+Training is truncated backpropagation in numpy, on all training documents: every task trains a
 replica on its rows, and the replicas are averaged by aggregation, weighted by the tokens that each learned from, ``rounds``
-times, each round over every token of its rows. The state is carried from window to window of a document and
+times, each round over every row and every token of it. The state is carried from window to window of a document and
 reset between documents, in training and in scoring, so a score is the log-likelihood of the complete document.
 
 Scoring deals documents to blocks of about ``block_bytes``; the distinct words of a block fetch their counts
@@ -48,8 +48,7 @@ class Settings:
     score_lanes: int = 384
     rate: float = 0.02
     rounds: int = 2
-    train_share: float = 1 / 16
-    train_least: int = 2_000_000  # tokens that the share is raised to on smaller corpora
+    train_share: float = 1.0  # of the training documents, the same in each round and at any size
     train_tokens: int = 1 << 20  # tokens laid out in lanes at once
     block_bytes: int = 32 << 20
 
@@ -437,12 +436,10 @@ def scores(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     top = [(r.h, r.tail, r.c) for r in counts.orderBy(F.desc("c"), "h").limit(s.top).collect()]
     v = Vocabulary(top, by_tail, n_docs, s)
 
-    share = min(1.0, max(s.train_share, s.train_least / max(1, v.total)))
     net = Network.initial(s, v)
+    chosen = training if s.train_share >= 1 else training.where(F.pmod(F.col("key"), F.lit(1_000_000)) < int(1e6 * s.train_share))
     for k in range(s.rounds):
-        chosen = F.pmod(F.col("key"), F.lit(1_000_000))
-        low, high = int(1e6 * share * k / s.rounds), int(1e6 * share * (k + 1) / s.rounds)
-        net = _averaged(training.where((chosen >= low) & (chosen < high)).select("text"), net, v, k / s.rounds)
+        net = _averaged(chosen.select("text"), net, v, k / s.rounds)
 
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // s.block_bytes) or 1

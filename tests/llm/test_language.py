@@ -94,6 +94,16 @@ def test_tail_classes_are_in_range():
     assert found[0].tolist()[0] == 3 and all(0 <= t < language.TAILS for t in found[0])
 
 
+def test_every_round_reads_every_training_row(spark, monkeypatch):
+    rows = [(k, f"word{k % 9} stone") for k in range(400)] + [(None, "the stone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(language, "_averaged", lambda sample, net, v, done: seen.append(sorted(r.text for r in sample.collect())) or net)
+    language.scores(docs)
+    want = sorted(t for i, t in rows if not held(i))
+    assert language.DEFAULT.train_share == 1 and seen == [want] * language.DEFAULT.rounds
+
+
 def test_every_token_of_long_documents_is_learned():
     s = language.DEFAULT
     g = np.random.default_rng(5)
