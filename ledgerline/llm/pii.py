@@ -102,11 +102,12 @@ _DIGIT_RUN = re.compile(rf"(?:(?<!\w)plus[ \t,.-]+)?(?<!\w)(?:{_DIGIT_WORD})(?:[
 _DIGIT_ONE = re.compile(rf"plus|{_DIGIT_WORD}", re.I)
 _AT = r"[ \t]*[\[({<][ \t]*(?:at|@|arroba|klammeraffe)[ \t]*[\])}>][ \t]*"
 _DOT = r"[ \t]*[\[({<][ \t]*(?:dot|punto|punkt|point|\.)[ \t]*[\])}>][ \t]*"
-_HOST = "[A-Za-z0-9-]+"
-#: A bracketed at or dot, or bare words in the one shape "name at host dot tld".
+#: A bracketed at or dot, wherever it stands.
 _BRACKET = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
-_BARE = re.compile(rf"[A-Za-z0-9._%+-]+(?P<at> at ){_HOST}(?:(?: dot |\.){_HOST})*?(?: dot ){_HOST}", re.I)
-_BARE_DOT = re.compile(r" dot ", re.I)
+#: Bare words count only in an address: labels and dots, an at, labels and dots, of which some are disguised.
+_BARE_AT = re.compile(r"(?<=[A-Za-z0-9._%+-]) at (?=[A-Za-z0-9-])|@", re.I)
+_HOST = re.compile("[A-Za-z0-9-]+")
+_WORD = re.compile(r"\w+")
 
 
 class Rewritten:
@@ -137,8 +138,7 @@ class Rewritten:
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
-    words = text.lower().replace("-", " ").replace(",", " ").split()
-    if sum(map(_DIGITS.__contains__, words)) < 4:  # a run has four whole digit words at least
+    if sum(map(_DIGITS.__contains__, _WORD.findall(text.lower()))) < 4:  # a run has four whole digit words at least
         return []
     out = []
     for m in _DIGIT_RUN.finditer(text):
@@ -147,15 +147,63 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _host_dots(text: str, at: int, dots: dict[int, int]) -> tuple[list[tuple[int, int]], bool]:
+    """Bare dots of the host that begins at ``at``, and whether it has a label after a dot that is disguised or follows one."""
+    bare, ends, disguised = [], _HOST.match(text, at), False
+    while ends:
+        k = ends.end()
+        if k in dots:
+            to, kind = dots[k], "bracket"
+        elif text[k : k + 5].lower() == " dot ":
+            to, kind = k + 5, "bare"
+        elif text[k : k + 1] == ".":
+            to, kind = k + 1, "plain"
+        else:
+            break
+        ends = _HOST.match(text, to)
+        if ends and kind != "plain":
+            disguised = True
+            if kind == "bare":
+                bare.append((k, to))
+    return bare, disguised
+
+
+def _local_dots(text: str, at: int, dots: dict[int, int]) -> list[tuple[int, int]]:
+    """Bare dots of the name that ends at ``at``; ``dots`` leads from the ends of bracketed dots to their starts."""
+    bare = []
+    while True:
+        k = at
+        while k and text[k - 1] in _LOCAL:
+            k -= 1
+        if k == at:
+            return bare[:-1] if bare and bare[-1][0] == at else bare
+        if k in dots:
+            at = dots[k]
+        elif k >= 5 and text[k - 5 : k].lower() == " dot ":
+            bare.append((k - 5, k))
+            at = k - 5
+        else:
+            return bare
+
+
 def _sign_edits(text: str) -> list[tuple[int, int, str]]:
     found = {}
     if any(c in text for c in "[({<"):
         found = {m.span(): "@" if m["at"] else "." for m in _BRACKET.finditer(text)}
     low = text.lower()
-    for m in _BARE.finditer(text) if " at " in low and " dot " in low else ():
-        found[m.span("at")] = "@"
-        for d in _BARE_DOT.finditer(text, m.end("at"), m.end()):
-            found[d.span()] = "."
+    if found or " dot " in low:
+        begins = {a: b for (a, b), new in found.items() if new == "."}
+        ends = {b: a for a, b in begins.items()}
+        signs = [(span, True) for span, new in found.items() if new == "@"]
+        if " dot " in low or begins:
+            signs += [(m.span(), m.group() == "@") for m in _BARE_AT.finditer(text)]
+        for (a, b), sure in signs:
+            bare, disguised = _host_dots(text, b, begins)
+            if disguised or (sure and re.match(r"[A-Za-z0-9-]+\.[A-Za-z0-9-]", text[b : b + 300])):
+                if not sure:
+                    found[a, b] = "@"
+                for span in bare + _local_dots(text, a, ends):
+                    found[span] = "."
     out, end = [], 0
     for (a, b), new in sorted(found.items()):
         if a >= end:

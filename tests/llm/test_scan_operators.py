@@ -140,3 +140,14 @@ def test_base_spans_stay_and_rows_are_defined(spark):
     red = {r.doc_id: r.text for r in pii.redacted(docs(spark, texts)).collect()}
     assert red[1] == "<email> and <email>" and red[2] is None
     assert pii.detect(docs(spark, [])).count() == 0
+
+
+def test_mixed_and_longer_disguises_are_found_whole():
+    for text in (
+        "joe at mail dot example dot com", "joe at example dot co dot uk", "john dot smith at example dot com", "joe [at] example dot com",
+        "joe at example [dot] com", "john dot smith (at) mail.example dot com", "j dot r [dot] smith at a (dot) b dot org",
+    ):
+        assert pii.redact(f"write to {text}, or not") == "write to <email>, or not"
+    assert pii.redact("call +49 555 one two three four.") == "call <phone>."
+    for text in ("we look at example.com today", "noon at a dot", "see [x] dot at y"):
+        assert pii.find(text) == ([], [])
