@@ -207,6 +207,51 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.members(_memberships(spark, sf_dir)).select("zone", F.size("members").cast("long").alias("n"), F.col("members")[0].alias("first"))
 
 
+# The same operators over whole tables. The queries above keep the slices that their SQL states.
+
+
+@register("list_types_whole")
+def list_types_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    nodes = _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("type"))
+    return lookup.list_types(part.select(F.col("p_type").alias("name")).distinct(), nodes)
+
+
+@register("get_nested_whole")
+def get_nested_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    claims = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), "l_linenumber", "l_partkey")
+    texts = F.transform("claims", lambda c: F.concat_ws("/", c["l_linenumber"].cast("string"), c["l_partkey"].cast("string")))
+    return lookup.nested(entities, claims).select("id", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("n_claims"), F.when(F.col("claims").isNotNull(), F.array_join(texts, ",")).alias("claims"))
+
+
+@register("containment_closure_whole")
+def containment_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir).where("within IS NOT NULL")
+    return graph.closure(nodes.select(F.col("within").alias("parent"), F.col("id").alias("child")))
+
+
+@register("adjacent_whole")
+def adjacent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("edge"))
+    return graph.adjacent(sides).select("a", "b", F.array_join(F.col("via").cast("array<string>"), ",").alias("via"))
+
+
+def _all_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("node"), F.col("l_partkey").alias("zone"))
+
+
+@register("zones_whole")
+def zones_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.zones(_all_memberships(spark, sf_dir)).select("node", F.array_join(F.array_sort(F.col("zones").cast("array<string>")), ",").alias("zones"))
+
+
+@register("members_whole")
+def members_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.members(_all_memberships(spark, sf_dir)).select("zone", F.size("members").cast("long").alias("n"), F.col("members")[0].alias("first"))
+
+
 @register("references", "SELECT 'c:' || c_custkey AS source, 'within' AS relation FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 's:' || s_suppkey, 'member-of' FROM supplier WHERE s_nationkey = 3")
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("source"), F.concat(F.lit("n:"), F.col("s_nationkey").cast("string")).alias("target"))
