@@ -3,7 +3,8 @@
 1. Every document gets the size and a 128-bit digest of its shingle set, ``BANDS`` band keys of ``ROWS``
    MinHash values each, and an odd sketch: the parities of its samples, folded into ``SKETCH`` bits. Two
    documents with a Jaccard similarity of 0.85 share no band with a probability below 1e-7.
-2. Documents of one set are one class; from here on only its smallest id stands for it.
+2. Documents of one set are one class, known by its smallest id and the digest of the set (its node); from here
+   on only one row stands for it. Rows are known by 128 bits of hashes of id and text, never by their id alone.
 3. In each bucket of a band that has several members, a hub is chosen by aggregation, and every member is
    compared with the hub, so a bucket of n members gives n pairs. Pairs whose sketches rule them out are
    dropped; the rest are confirmed by the full sets, and components are formed.
@@ -17,7 +18,10 @@ reaches the driver.
 
 Defined results: a null or empty text has no shingles and is its own component; a document with fewer words
 than a shingle has its whole sequence as the one shingle; rows with a null id link with nothing and have a
-null component, kept false; repeated rows get the same answer; other columns are ignored.
+null component, kept false; repeated rows get the same answer; rows that share an id are one document to
+``duplicates``, which joins what any of their texts is linked with, and rows of their own to ``kept``; a very
+long text is one set, held by one task; a tie for the smallest of a component cannot be, as ids with digests
+are unique; ids keep their type; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm import textvec
-from ledgerline.llm.common import dropped, written
+from ledgerline.llm.common import dropped, row_keys, unused, written
 
 _U = np.uint64
 
@@ -149,11 +154,11 @@ def most_different_bits(s: Settings) -> int:
 
 
 def signatures(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, set_a, set_b, bands, sketch)."""
+    """Rows (id, key, key2, n_shingles, set_a, set_b, bands, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, values, first in shingle_sets(batch.column(1), s.shingle):
+            for a, values, first in shingle_sets(batch.column(3), s.shingle):
                 n = len(first) - 1
                 samples = minhashes(values, first, s.samples)
                 digests = []
@@ -163,10 +168,15 @@ def signatures(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", t
                     digests.append(pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)))
                 bands = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * s.bands, np.ascontiguousarray(band_keys(samples, s).T).view(np.int64).ravel())
                 sketch = pa.array([row.tobytes() for row in odd_sketches(samples, s.sketch)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(first)), *digests, bands, sketch], ["id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, n) for k in range(3)), pa.array(np.diff(first)), *digests, bands, sketch], names)
 
-    schema = "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
+    names = ["id", "key", "key2", "n_shingles", "set_a", "set_b", "bands", "sketch"]
+    rows = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, key2 long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
+
+
+def _pairs_schema(node: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("a", node), T.StructField("b", node)])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -183,18 +193,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                     good[k] = _similar(x, y, s)
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, _pairs_schema(pairs.schema["a"].dataType))
 
 
 def _columns(column: pa.Array, k: int) -> list[np.ndarray]:
     return [values[first[i] : first[i + 1]] for _, values, first in shingle_sets(column, k) for i in range(len(first) - 1)]
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Rows (id, component) of all ends of ``edges`` (a, b): the smallest id that each reaches.
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """Rows (id, component) of all ends of ``edges`` (a, b), of any ordered type: the smallest that each reaches.
 
     Alternating large-star and small-star steps (Kiveris and others 2014); every step ends in a written
-    table, and only the number of changed rows reaches the driver.
+    table, and only its size and 128 bits of digests, which say whether it changed, reach the driver.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
@@ -208,10 +218,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         last, now = now, written(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
         if before is not None:
             dropped(last)
-        size, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if (size, total) == before:
+        after = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first())
+        if after == before:
             break
-        before = (size, total)
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     ends = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
@@ -265,13 +275,16 @@ def _compared(members: DataFrame, s: Settings) -> DataFrame:
         rows = pa.concat_batches(parts)
         edges = edges_of(rows)
         for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [rows.num_rows]]), strict=True):
-            links = linked(rows.slice(int(a), int(b - a)))
+            group = rows.slice(int(a), int(b - a))
+            links = linked(group)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([group.column(4).take(pa.array(c)) for c in zip(*links, strict=True)], ["a", "b"])
 
     def linked(rows: pa.RecordBatch) -> list[tuple[int, int]]:
-        bucket, x, y, block, ids, kinds, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-        kinds = kinds.copy()
+        bucket, x, y, block, sizes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 6))
+        component = rows.column(5)
+        parts = component.field("id").dictionary_encode().indices, component.field("tag")
+        kinds = np.unique(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in parts]), axis=1, return_inverse=True)[1].ravel()
         bands = rows.column(7).flatten().to_numpy().reshape(rows.num_rows, -1)
         raw = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
         band = int(np.argmax(bands[0] == bucket[0]))
@@ -291,11 +304,11 @@ def _compared(members: DataFrame, s: Settings) -> DataFrame:
                 if sets is None:
                     sets = _columns(rows.column(9), s.shingle)
                 if _similar(sets[i], sets[j], s):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    out.append((i, j))
                     kinds[kinds == kinds[j]] = kinds[i]
         return out
 
-    return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a long, b long")
+    return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, _pairs_schema(members.schema["id"].dataType))
 
 
 def _similar(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
@@ -303,19 +316,24 @@ def _similar(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
     return shared > 0 and 100 * shared >= s.percent * (len(x) + len(y) - shared)
 
 
-def duplicates(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and the smallest id with the same set."""
+def _joined(docs: DataFrame, s: Settings, id_col: str, text_col: str, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and the classes with their node, the keys of the row that stands for them, and their component.
+
+    A node is (id, tag), the smallest id of a class and half of its set's digest, so the least node of a component has its
+    smallest id. With ``by_id`` the classes of the texts of one id are linked.
+    """
     sig = written(signatures(docs, s, id_col, text_col), "signatures")
     known = sig.where("id is not null and n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
-    classes = written(known.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    least = known.groupBy(*same).agg(F.min(F.struct("id", "key", "key2")).alias("row"))
+    classes = written(least.select(*same, F.struct(F.col("row.id").alias("id"), F.col("set_a").alias("tag")).alias("node"), "row.key", "row.key2"), "classes")
+    reps = known.join(classes.select("key", "key2", F.col("node")), ["key", "key2"]).dropDuplicates(["key", "key2"]).withColumn("id", F.col("node"))
     buckets = reps.select(F.explode("bands").alias("bucket"), "id")
     hubs = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "bucket").alias("order"), F.col("id"))).alias("hub")).where("size > 1")
     members = written(buckets.join(hubs.select("bucket", F.col("hub.id").alias("hub")), "bucket"), "members")
     chosen = written(members.select("id").distinct(), "chosen")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts.join(reps.join(chosen, "id", "left_semi").select("id", "n_shingles", "bands", "sketch"), "id"), "texts")
+    wanted = reps.join(chosen, "id", "left_semi").select("id", "key", "key2", "n_shingles", "bands", "sketch")
+    texts = written(docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text")).join(wanted, ["key", "key2"]).dropDuplicates(["key", "key2"]).drop("key", "key2"), "texts")
 
     stars = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     stars = stars.join(texts.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
@@ -327,19 +345,33 @@ def duplicates(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", t
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     rest = written(labelled.join(mixed, "bucket", "left_semi"), "mixed")
     more = written(_compared(rest.join(texts, "id"), s).distinct(), "links")
+    if by_id:
+        twice = known.groupBy("id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y").select("id")
+        own = known.join(twice, "id", "left_semi").join(classes.select(*same, "node"), same).select("id", "node").distinct()
+        hub = own.groupBy("id").agg(F.min("node").alias("a"))
+        more = written(more.unionAll(own.join(hub, "id").where("a <> node").select("a", F.col("node").alias("b"))), "links")
     final = components(links.unionAll(more)) if more.head(1) else first
+    return sig, classes.join(final.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
 
-    joined = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = sig.join(joined, same, "left").withColumn("component_id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("rep", "id").alias("class_id"))
+def duplicates(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, and the smallest id with the same set."""
+    sig, joined = _joined(docs, s, id_col, text_col, by_id=True)
+    same = ["n_shingles", "set_a", "set_b"]
+    out = sig.join(joined.select(*same, "node", "component"), same, "left").withColumn("component_id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component.id")), "id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("node.id", "id").alias("class_id"))
 
 
 def kept(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns stay.
+    """One row of each component, the one with the smallest id; all columns stay.
 
-    Of rows that repeat an id the one with the smallest text stays; rows with a null id all stay.
+    A row goes only for a row that it is a near copy of, or reaches by near copies: rows of one id whose texts are not
+    alike all stay, as do rows without an id or without words; of rows equal in id and text one stays.
     """
-    decided = duplicates(docs, s, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    one = docs.join(decided, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
-    return one.unionAll(docs.where(F.col(id_col).isNull()))
+    _, joined = _joined(docs, s, id_col, text_col, by_id=False)
+    key, key2, first = unused(docs, "key", "key2", "first")
+    decided = joined.where("node = component").select(F.col("key").alias(key), F.col("key2").alias(key2))
+    rows = docs.withColumns(dict(zip((key, key2), row_keys(id_col, text_col), strict=True))).join(decided, [key, key2], "left_semi")
+    one = rows.withColumn(first, F.row_number().over(Window.partitionBy(key, key2).orderBy(id_col))).where(F.col(first) == 1)
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return one.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull() | wordless))

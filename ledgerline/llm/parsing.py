@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ledgerline.llm import repeats, textvec
 from ledgerline.llm.fmindex import suffix_order
-from ledgerline.llm.segments import Rolling, Routing
+from ledgerline.llm.segments import Routing
 
 _U = np.uint64
 WINDOW, TRIGGER, MODULUS = 400, 8, 48
@@ -26,8 +26,7 @@ def parse(data: np.ndarray, first: np.ndarray, trigger: int = TRIGGER, modulus:
     The last phrase of a segment ends with the segment's end, which counts as a symbol of its own; where a
     trigger stands there, that phrase is the trigger alone.
     """
-    rolling = Rolling(textvec._BYTE[data])
-    inside = np.flatnonzero(rolling.windows(trigger) % _U(modulus) == 0) + trigger
+    inside = np.flatnonzero(textvec.grams(data, trigger) % _U(modulus) == 0) + trigger
     # A trigger that reaches over a segment's start, or stands at its very start, ends no phrase.
     inside = inside[inside - trigger > first[np.searchsorted(first, inside, "left") - 1]]
     end = np.sort(np.concatenate([inside, first[1:]]))
@@ -84,8 +83,7 @@ def corpus_order(data: np.ndarray, first: np.ndarray, positions: np.ndarray, tri
     """``positions`` of ``data`` in the order of the suffixes of their segments; a segment's end ranks by position."""
     start, end, segment = parse(data, first, trigger, modulus)
     closing = np.concatenate([segment[1:] != segment[:-1], [True]])
-    rolling = Rolling(textvec._BYTE[data])
-    identity = rolling.ranges(start, end) * _U(2) + closing.astype(np.uint64)
+    identity = textvec.range_hashes(data, start, end) << _U(1) | closing.astype(np.uint64)
     _, one, phrase = np.unique(identity, return_index=True, return_inverse=True)
     # The dictionary: bytes are 2 to 257, and a segment's end adds a 1 to its last phrase.
     size = end[one] - start[one] + closing[one]
@@ -118,7 +116,7 @@ def repeated_spans(data: np.ndarray, first: np.ndarray, windows: np.ndarray, wei
     at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     positions = first[row] + at
     order = corpus_order(data, first, positions)
-    content = Rolling(textvec._BYTE[data]).ranges(order, order + window)  # neighbours with 400 bytes in common
+    content = textvec.grams(data, window)[order]  # neighbours with 400 bytes in common
     begin = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
     owner = np.searchsorted(first, order, "right") - 1
     total = np.add.reduceat(weights[owner], begin)

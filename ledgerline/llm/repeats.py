@@ -10,11 +10,14 @@ An anchor with more different segments than a shard is meant to hold, such as th
 passage that a large share of all documents quote, is not sent to one shard: its windows are told apart by their hashes,
 which are added up before they are exchanged. So no group is held by one task, whatever the corpus.
 
-Texts are exchanged once, by a hash of id and text, for both the fetch of units and the final cut. Hashes of
-segments and windows have 64 bits beside their anchor's 64.
+Texts are exchanged once, by 128 bits of hashes of id and text, for both the fetch of units and the final cut.
+Hashes of segments and windows have 64 bits beside their anchor's 64; none is a polynomial, so texts made of
+self-similar words (Thue-Morse) are told apart like any others.
 
 Defined results: a null text counts as empty; repeated rows count as occurrences of each other; null ids and
-further columns do not matter, and columns of the names used here are not read.
+further columns do not matter, and columns of the names used here are not read; a very long text is cut into
+segments like any other, so no task holds more than the text itself and one shard; where windows tie for the
+least gram the first place counts, in every copy alike.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import segments, textvec
-from ledgerline.llm.common import written
+from ledgerline.llm.common import row_keys, written
 
 #: Shard contents: code of every unit, first unit of every segment, windows and weight (1 or 2) of every segment.
 #: Returns arrays (segment, first unit, end unit) of repeated ranges.
@@ -59,21 +62,36 @@ def _units(column: pa.Array, words: bool) -> Iterator[tuple[int, np.ndarray, np.
             found = textvec.Words(part, edges, textvec.SPACE, lower=False)
             yield a, part, found.hashes, found.first, np.stack([found.starts, found.ends])
         else:
-            yield a, part, textvec._BYTE[part], edges, np.zeros((2, 0), np.int64)
+            yield a, part, part, edges, np.zeros((2, 0), np.int64)
+
+
+def find_anchors(texts: DataFrame, m: Method) -> DataFrame:
+    """Rows (anchor, anchors) of the segments of (text), summed over the rows of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, codes, first, _ in _units(batch.column(0), m.words):
+                anchor, _, _, _, _, anchors = segments.segments(codes, first, m.routing, hashed=False)
+                if len(anchor):
+                    own, where = np.unique(anchor, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(where, anchors).astype(np.int64))], ["anchor", "anchors"])
+
+    return texts.select("text").mapInArrow(run, "anchor long, anchors long")
 
 
 def find_segments(texts: DataFrame, m: Method) -> DataFrame:
-    """Rows (key, anchor, seg, start, n, anchors) of the segments of (key, text)."""
+    """Rows (key, key2, anchor, seg, start, n) of the segments of (key, key2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, codes, first, _ in _units(batch.column(1), m.words):
-                anchor, seg, doc, start, n, anchors = segments.segments(codes, first, m.routing)
+            keys, more = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for a, _, codes, first, _ in _units(batch.column(2), m.words):
+                anchor, seg, doc, start, n, _ = segments.segments(codes, first, m.routing)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[a + doc], anchor.view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32), anchors.astype(np.int8))], ["key", "anchor", "seg", "start", "n", "anchors"])
+                    columns = keys[a + doc], more[a + doc], anchor.view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "key2", "anchor", "seg", "start", "n"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, anchor long, seg long, start int, n int, anchors byte")
+    return texts.select("key", "key2", "text").mapInArrow(run, "key long, key2 long, anchor long, seg long, start int, n int")
 
 
 def _cut(fetched: DataFrame, m: Method) -> DataFrame:
@@ -166,17 +184,16 @@ def _counted(payload: DataFrame, m: Method) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, codes, first, _ in _units(batch.column(4), m.words):
-                rolling = segments.Rolling(codes)
                 n = np.diff(first) - window + 1
                 row = np.repeat(np.arange(len(n)), n)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 begin = first[row] + at
-                keys = rolling.ranges(begin, begin + window).view(np.int64)
+                keys = textvec.grams(codes, window)[begin].view(np.int64)
                 columns = [batch.column(k).to_numpy(zero_copy_only=False)[a + row] for k in (0, 1, 2)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(at.astype(np.int32)), pa.array(keys)], ["anchor", "seg", "copies", "at", "content"])
 
-    once = payload.dropDuplicates(["anchor", "seg"])
-    found = written(once.mapInArrow(windows, "anchor long, seg long, copies long, at int, content long"), "hot-windows")
+    once = written(payload.dropDuplicates(["anchor", "seg"]), "hot")  # the texts; their windows are made twice, and summed before an exchange
+    found = once.mapInArrow(windows, "anchor long, seg long, copies long, at int, content long")
     twice = found.groupBy("anchor", "content").agg(F.sum("copies").alias("all")).where("all > 1").select("anchor", "content")
     span = F.struct(F.col("at").alias("first"), (F.col("at") + window).cast("int").alias("end"))
     return found.join(twice, ["anchor", "content"], "left_semi").groupBy("anchor", "seg").agg(F.collect_list(span).alias("spans"))
@@ -185,24 +202,23 @@ def _counted(payload: DataFrame, m: Method) -> DataFrame:
 def repeated(docs: DataFrame, m: Method, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, text, found): for every row of ``docs`` its repeated ranges of units, as first units and their spans, or null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
-    rows = find_segments(texts, m)
-    shared = rows.groupBy("anchor").agg(F.sum("anchors").alias("c")).where("c > 1").select("anchor")
-    held = written(find_segments(texts, m).drop("anchors").join(shared, "anchor", "left_semi"), "segments")
-    kinds = written(held.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("at")), "kinds")
+    texts = docs.select(*row_keys(id_col, text_col), F.col(id_col).alias("id"), text.alias("text"))
+    shared = find_anchors(texts, m).groupBy("anchor").agg(F.sum("anchors").alias("c")).where("c > 1").select("anchor")
+    held = written(find_segments(texts, m).join(shared, "anchor", "left_semi"), "segments")
+    kinds = written(held.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("key", "key2", "start", "n")).alias("at")), "kinds")
     crowded = kinds.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > m.most_segments).select("anchor")
-    by_key = texts.repartition("key")
+    by_key = texts.repartition("key", "key2")
 
     def payload(chosen: DataFrame) -> DataFrame:
-        wanted = chosen.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "seg", "copies", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("wanted"))
-        return _cut(by_key.join(wanted, "key"), m)
+        wanted = chosen.groupBy(F.col("at.key").alias("key"), F.col("at.key2").alias("key2")).agg(F.collect_list(F.struct("anchor", "seg", "copies", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("wanted"))
+        return _cut(by_key.join(wanted, ["key", "key2"]), m)
 
     if crowded.head(1):
         spans = _indexed(payload(kinds.join(crowded, "anchor", "left_anti")), m).unionAll(_counted(payload(kinds.join(crowded, "anchor", "left_semi")), m))
     else:
         spans = _indexed(payload(kinds), m)
-    found = held.join(spans, ["anchor", "seg"]).groupBy("key").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
-    return by_key.join(found, "key", "left").select("id", "text", "found")
+    found = held.join(spans, ["anchor", "seg"]).groupBy("key", "key2").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    return by_key.join(found, ["key", "key2"], "left").select("id", "text", "found")
 
 
 def _merged(found: list[dict] | None) -> list[tuple[int, int]]:

@@ -15,36 +15,6 @@ import numpy as np
 from ledgerline.llm import textvec
 
 _U = np.uint64
-_BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 2**64)
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(n, textvec.SLICE + 1)
-    if size not in _TABLES:
-        made = textvec._powers(_BASE, size), textvec._powers(_BASE_INV, size)
-        if size > textvec.SLICE + 1:
-            return made
-        _TABLES[size] = made
-    return _TABLES[size]
-
-
-class Rolling:
-    """Hashes of any range of units, from prefix sums of their 64-bit codes."""
-
-    def __init__(self, codes: np.ndarray):
-        up, self.down = _powers(len(codes) + 1)
-        self.total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=self.total[1:])
-
-    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return textvec.mix((self.total[ends] - self.total[starts]) * self.down[starts] ^ (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-
-    def windows(self, n: int) -> np.ndarray:
-        """The hash of every range of ``n`` units."""
-        count = max(0, len(self.total) - n)
-        return textvec.mix((self.total[n:] - self.total[:count]) * self.down[:count])
 
 
 def sliding_least(values: np.ndarray, n: int) -> np.ndarray:
@@ -63,18 +33,18 @@ class Routing:
     most: int  # windows of a segment at most
 
 
-def segments(codes: np.ndarray, first: np.ndarray, r: Routing) -> tuple[np.ndarray, ...]:
+def segments(codes: np.ndarray, first: np.ndarray, r: Routing, hashed: bool = True) -> tuple[np.ndarray, ...]:
     """Anchor, segment hash, document, first unit in the document, number of windows and of anchors of every segment.
 
-    ``codes`` are the units of some documents, document d having the units first[d] to first[d + 1]. A segment
-    in which the anchor stands more than once counts 2 anchors: it may repeat a window by itself.
+    ``codes`` are the units of some documents, document d having the units first[d] to first[d + 1], as 64-bit
+    codes or bytes. Without ``hashed`` the segment hashes are 0. A segment in which the anchor stands more than
+    once counts 2 anchors: it may repeat a window by itself.
     """
     n = len(codes) - r.window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none.view(np.uint64), none.view(np.uint64), none, none, none, none
-    rolling = Rolling(codes)
-    grams, width = rolling.windows(r.gram), r.window - r.gram + 1
+    grams, width = textvec.grams(codes, r.gram), r.window - r.gram + 1
     # The first and the last place of the least gram of each window: places fill the low bits of the hashes.
     low = _U((1 << max(20, len(grams).bit_length())) - 1)
     places = np.arange(len(grams), dtype=np.uint64)
@@ -98,7 +68,7 @@ def segments(codes: np.ndarray, first: np.ndarray, r: Routing) -> tuple[np.ndarr
         start = at[which] + number * r.most
         size = np.minimum(r.most, end[which] - start)
         at = start
-    hashes = rolling.ranges(at, at + size + r.window - 1)
+    hashes = np.zeros(len(at), np.uint64) if not hashed else textvec.range_hashes(codes, at, at + size + r.window - 1)
     doc = row[at]
     twice = first_place[at] != last_place[at + size - 1]
     return anchors[at], hashes, doc, at - first[doc], size, 1 + twice.astype(np.int64)

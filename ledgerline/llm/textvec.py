@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 20
 SLICE_DOCS = 4096
@@ -32,27 +33,9 @@ NON_ALNUM = np.zeros(256, bool)
 NON_ALNUM[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 _BYTE = _mixer(11, 256)
-_BASE = int(_mixer(12, 1)[0])
-_BASE_INV = pow(_BASE, -1, 2**64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept for ordinary slices only."""
-    size = max(SLICE + 1, n)
-    if size > SLICE + 1:
-        return _powers(_BASE, size), _powers(_BASE_INV, size)
-    if size not in _POW:
-        _POW[size] = (_powers(_BASE, size), _powers(_BASE_INV, size))
-    return _POW[size]
+_LENGTH = int(_mixer(12, 1)[0])
+_LONG = 64  # bytes of a word from which on it is hashed by itself
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -93,6 +76,11 @@ def slices(bounds: np.ndarray, limit: int = SLICE, docs: int = SLICE_DOCS) -> It
         at = to
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the last."""
+    return np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 class Words:
     """The words of some documents: their byte ranges, hashes and the range of words of each document."""
 
@@ -121,14 +109,24 @@ class Words:
         self.hashes = self._hashes() if hashed else None
 
     def _hashes(self) -> np.ndarray:
+        """Eight bytes at a time, each step a bijection of what went before; long words by themselves."""
         n = len(self.data)
         if not n:
             return np.zeros(0, np.uint64)
-        up, down = powers(n + 1)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        eights = _eights(self.data)
+        size = self.ends - self.starts
+        out = mix((eights[self.starts] & _HEAD[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _U(_LENGTH))
+        live = np.flatnonzero((size > 8) & (size <= _LONG))
+        for at in range(8, _LONG, 8):
+            if not len(live):
+                break
+            left = size[live] - at
+            out[live] = mix(out[live] ^ (eights[self.starts[live] + at] & _HEAD[np.minimum(left, 8)]))
+            live = live[left > 8]
+        whole = memoryview(self.data)
+        for k in np.flatnonzero(size > _LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(whole[self.starts[k] : self.ends[k]], _LENGTH)
+        return out
 
     @property
     def counts(self) -> np.ndarray:
@@ -138,22 +136,40 @@ class Words:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
-_GRAM = _mixer(13, 64)
+_LEFT, _RIGHT = (int(x) for x in _mixer(13, 2))
 
 
-def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hashes of every ``k`` consecutive values; the caller masks those that cross documents."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = hashes[:n] * _GRAM[0]
-    for j in range(1, k):
-        total += mixed_step(hashes[j : j + n], j)
-    return mix(total ^ _U(k * 0x9E3779B97F4A7C15 + seed & 0xFFFFFFFFFFFFFFFF))
+def _paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of pairs; what is folded between the products keeps it from being a polynomial in the values."""
+    out = right >> _U(29)
+    out ^= right
+    out *= _U(_RIGHT)
+    out += left * _U(_LEFT)
+    out ^= out >> _U(32)
+    return out
 
 
-def mixed_step(hashes: np.ndarray, j: int) -> np.ndarray:
-    return (hashes ^ (hashes >> _U(29))) * _GRAM[j % 64] if j >= 64 else hashes * _GRAM[j]
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every ``k`` consecutive values (64-bit codes or bytes), by doubling; the caller masks those that cross documents."""
+    if len(hashes) < k:
+        return np.zeros(0, np.uint64)
+    span, now = 1, hashes
+    if hashes.dtype == np.uint8:
+        span, now = (8, mix(_eights(hashes)[: len(hashes) - 7].copy())) if k >= 8 else (1, _BYTE[hashes])
+    while span * 2 <= k:
+        now = _paired(now[:-span], now[span:])
+        span *= 2
+    if span < k:
+        now = _paired(now[: len(hashes) - k + 1], now[k - span :])
+    return mix(now ^ _U(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of some ranges of contiguous units, over their bytes."""
+    width, raw = units.itemsize, memoryview(np.ascontiguousarray(units).view(np.uint8))
+    digest = xxhash.xxh3_64_intdigest
+    found = (digest(raw[a:b], _LENGTH) for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True))
+    return np.fromiter(found, np.uint64, len(starts))
 
 
 def row_of(first: np.ndarray, n: int) -> np.ndarray:

@@ -139,3 +139,39 @@ def test_equal_sets_are_one_class_wherever_they_stand(spark):
 def test_sets_are_distinct_and_counted():
     for _, values, first in neardup.shingle_sets(pa.array(["a b c a b c", "", None, "A b", "a b"]), 3):
         assert np.diff(first).tolist() == [3, 0, 0, 1, 1] and values[3] == values[4]
+
+
+def test_rows_of_one_id_are_joined_in_either_order_and_kept_apart(spark):
+    r = random.Random(2)
+    long, other = (" ".join(r.choice(["ash", "birch", "cedar", "fir", "oak", "pine", "yew"]) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(2))
+    rows = [(5, long), (9, long + " end"), (9, other), (12, other)]
+    for order in (rows, [rows[0], rows[2], rows[1], rows[3]], rows[::-1]):
+        df = frame(spark, order).coalesce(1)
+        assert {(x.doc_id, x.component_id) for x in neardup.duplicates(df).collect()} == {(5, 5), (9, 5), (12, 5)}
+        assert sorted((x.doc_id, x.text) for x in neardup.kept(df).collect()) == sorted([(5, long), (9, other)])
+    again = [(1, "x y z w"), (1, "x y z w"), (1, None), (1, ""), (None, "x y z w")]
+    assert sorted(map(str, ((x.doc_id, x.text) for x in neardup.kept(frame(spark, again)).collect()))) == sorted(map(str, [(1, "x y z w"), (1, None), (1, ""), (None, "x y z w")]))
+
+
+def test_names_that_clash_and_text_ids(spark):
+    rows = [("b", "one two three four"), ("a", "One two three four"), ("c", "other words stand here")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id string, text string, _id int, key int, KEY2 int, first int, bands int")
+    out = neardup.kept(df)
+    assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == ["a", "c"]
+    assert {(x.doc_id, x.component_id) for x in neardup.duplicates(df).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def thue_morse(k):
+    bits = [0]
+    for _ in range(k):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_self_similar_words_are_different(spark, k):
+    x, y = thue_morse(k)
+    rows = [(1, f"{x} p q"), (2, f"{y} p q"), (3, f"p {y} q"), (4, f"p {y} q")]
+    got = neardup.duplicates(frame(spark, rows)).collect()
+    assert found(neardup.duplicates(frame(spark, rows))) == brute(rows)
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 3}

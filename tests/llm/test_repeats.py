@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from ledgerline.llm import parsing, repeats, substring, textvec
 from ledgerline.llm.segments import Routing
 from ledgerline.llm import segments as seg
+from tests.llm.test_neardup import thue_morse
 
 
 def brute(rows, window, words):
@@ -123,3 +124,14 @@ def test_segments_cover_every_window_once(docs, window):
     for d, s, m, a in zip(doc, start, n, anchors, strict=True):  # a window that a segment holds twice is announced
         own = [tuple(docs[d][k : k + window]) for k in range(s, s + m)]
         assert a == 2 or len(set(own)) == len(own)
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_self_similar_texts_match_brute_force(spark, k):
+    """Thue-Morse words and their complements, which collide under any polynomial hash modulo a power of two."""
+    x, y = thue_morse(k)
+    shared = " ".join(f"s{j}" for j in range(40))
+    rows = [(1, f"{x} {shared}"), (2, f"{y} {shared}"), (3, " ".join(x)), (4, " ".join(y)), (5, x), (6, y)]
+    got = found(substring.deduplicated(frame(spark, rows)))
+    assert got == [(i, n, c, d) for i, n, c, _, d in brute(rows, 35, True)] and got[0][2] == 40
+    assert found(parsing.deduplicated(frame(spark, rows))) == brute(rows, 400, False)
