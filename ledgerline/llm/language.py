@@ -13,11 +13,13 @@ times, each round over every row and every token of it. The state is carried fro
 reset between documents, in training and in scoring, so a score is the log-likelihood of the complete document.
 
 Scoring deals documents to blocks of about ``block_bytes``; the distinct words of a block fetch their counts
-by a join, and block and counts meet in one group. No count table is ever broadcast.
+by a join, and block and counts meet in one group, which is scored in parts of ``part_bytes``. No count table is
+ever broadcast.
 
 Words are known by 64-bit hashes. Defined results: null and empty texts hold the end token alone; rows with a
 null id belong to the training documents; repeated rows count and score as often as they occur; without
-training documents all counts are 0; other columns are ignored.
+training documents all counts are 0; of words with equal counts those of the smaller hash are in the top; a very
+long text is one lane, learned and scored to its end; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,13 +46,14 @@ class Settings:
     classes: int = 16
     hidden: int = 16
     window: int = 24
-    train_lanes: int = 96
+    train_lanes: int = 192
     score_lanes: int = 384
     rate: float = 0.02
     rounds: int = 2
     train_share: float = 1.0  # of the training documents, the same in each round and at any size
     train_tokens: int = 1 << 20  # tokens laid out in lanes at once
     block_bytes: int = 32 << 20
+    part_bytes: int = 6 << 20  # of a block that is scored at once
 
     @property
     def per_class(self) -> int:
@@ -278,8 +281,8 @@ class Network:
         return grads, after, float(-(logp * weight).sum())
 
 
-def lanes(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The lane and the first place of each document, longest first to the shortest lane, and the longest lane."""
+def lanes(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lane and the first place of each document, longest first to the shortest lane, and the sizes of the lanes, longest first."""
     n = max(1, min(n, len(lengths)))
     heap = [(0, k) for k in range(n)]
     lane, place = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -287,27 +290,39 @@ def lanes(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
         size, k = heap[0]
         lane[d], place[d] = k, size
         heapq.heapreplace(heap, (size + int(lengths[d]), k))
-    return lane, place, max(size for size, _ in heap)
+    sizes = np.zeros(n, np.int64)
+    sizes[[k for _, k in heap]] = [size for size, _ in heap]
+    order = np.argsort(-sizes, kind="stable")
+    return np.argsort(order)[lane], place, sizes[order]
 
 
 class Stream:
-    """Documents laid out in lanes as a dense (time, lane) table of symbols; no more lanes than the longest document fills."""
+    """Documents laid out in lanes as a (time, lane) table of symbols; a window holds the lanes that have begun.
+
+    All lanes end together, so what is learned last comes from all lanes and not from the longest document alone.
+    """
 
     def __init__(self, symbols: np.ndarray, first: np.ndarray, n: int, pad: int):
         lengths = np.diff(first)
-        n = min(n, -(-len(symbols) // max(1, int(lengths.max(initial=1)))))
-        lane, place, longest = lanes(lengths, n)
-        width = max(1, min(n, len(lengths)))
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
-        self.time = np.arange(len(symbols)) - np.repeat(first[:-1] - place, lengths)
-        self.lane = lane[self.doc]
-        self.symbols = np.full((longest, width), pad, np.int32)
+        lane, place, sizes = lanes(lengths, n)
+        shape = int(sizes[0]), len(sizes)
+        self.begin = sizes[0] - sizes
+        place += self.begin[lane]
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.time = (np.arange(len(symbols)) - np.repeat(first[:-1] - place, lengths)).astype(np.int32)
+        self.lane = lane.astype(np.int16)[self.doc]
+        self.symbols = np.full(shape, pad, np.int16)
         self.symbols[self.time, self.lane] = symbols
-        self.live = np.zeros((longest, width), bool)
+        self.live = np.zeros(shape, bool)
         self.live[self.time, self.lane] = True
-        self.fresh = np.zeros((longest, width), bool)
+        self.fresh = np.zeros(shape, bool)
         self.fresh[place, lane] = True
 
+    def windows(self, size: int) -> Iterator[tuple[slice, slice]]:
+        """Times and lanes of every window."""
+        for t in range(0, len(self.symbols), size):
+            yield slice(t, t + size), slice(0, int(np.searchsorted(self.begin, t + size, "left")))
+
 
 class Adam:
     """The running moments of one replica."""
@@ -328,7 +343,7 @@ class Adam:
 def train_replica(net: Network, symbols: np.ndarray, first: np.ndarray, done: float = 0.0, adam: Adam | None = None) -> tuple[Network, int]:
     """One pass of Adam over every token of some documents, and their number; ``done`` is the share of the rounds behind.
 
-    Windows with few live cells, as the last ones of the longest documents, add up to a quarter of a full
+    Windows with few live cells, as the first ones of the longest documents, add up to a quarter of a full
     window before a step is taken, each token with the same weight; what is left takes a step as small as it is.
     """
     s = net.s
@@ -337,10 +352,9 @@ def train_replica(net: Network, symbols: np.ndarray, first: np.ndarray, done: fl
     rate, least = s.rate * (1 - 0.7 * done), s.window * s.train_lanes / 4
     state = np.zeros((stream.symbols.shape[1], s.hidden), np.float32)
     total, cells, learned = np.zeros_like(net.values), 0, 0
-    for t in range(0, len(stream.symbols), s.window):
-        part = slice(t, t + s.window)
+    for part in stream.windows(s.window):
         live = int(stream.live[part].sum())
-        grads, state, _ = net.gradients(stream.symbols[part], stream.fresh[part], stream.live[part], state)
+        grads, state[part[1]], _ = net.gradients(stream.symbols[part], stream.fresh[part], stream.live[part], state[part[1]])
         total += grads.values * live
         cells, learned = cells + live, learned + live
         if cells >= least:
@@ -353,17 +367,15 @@ def train_replica(net: Network, symbols: np.ndarray, first: np.ndarray, done: fl
 
 def score_stream(net: Network, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of the natural log-probabilities of the symbols of each document."""
-    s, out = net.s, np.zeros(len(first) - 1)
+    s = net.s
     stream = Stream(symbols, first, s.score_lanes, s.symbols - 1)
     logp = np.zeros(stream.symbols.shape, np.float32)
     state = np.zeros((stream.symbols.shape[1], s.hidden), np.float32)
-    for t in range(0, len(stream.symbols), s.window):
-        part = slice(t, t + s.window)
-        before, state, _ = net.run(stream.symbols[part], stream.fresh[part], state)
+    for part in stream.windows(s.window):
+        before, state[part[1]], _ = net.run(stream.symbols[part], stream.fresh[part], state[part[1]])
         live = stream.live[part]
         logp[part][live] = net.log_probabilities(before[live], stream.symbols[part][live])[0]
-    np.add.at(out, stream.doc, logp[stream.time, stream.lane].astype(np.float64))
-    return out
+    return np.add.reduceat(logp[stream.time, stream.lane].astype(np.float64), first[:-1])
 
 
 def _coded(column: pa.Array, v: Vocabulary, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,13 +386,13 @@ def _coded(column: pa.Array, v: Vocabulary, s: Settings) -> tuple[np.ndarray, np
         row = textvec.row_of(first, len(h))
         at = np.arange(len(h)) + row
         ends = first[1:] + np.arange(n)
-        symbol, key = np.full(len(h) + n, s.symbols - 1, np.int64), np.zeros(len(h) + n, np.uint64)
+        symbol, key = np.full(len(h) + n, s.symbols - 1, np.int32), np.zeros(len(h) + n, np.uint64)
         symbol[at], key[at] = v.code(h, kinds, s), h
         symbols.append(symbol)
         hashes.append(key)
         sizes.append(np.diff(np.concatenate([[0], ends + 1])))
     if not sizes:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(symbols), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(hashes)
 
 
@@ -424,6 +436,25 @@ def _averaged(sample: DataFrame, net: Network, v: Vocabulary, done: float) -> Ne
     return Network(s, values)
 
 
+def scored_part(net: Network, v: Vocabulary, column: pa.Array, keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Tokens, known tokens, training tokens, base score and score of some texts, given the sorted hashes and counts of the words known."""
+    s = net.s
+    symbols, first, hashes = _coded(column, v, s)
+    end = symbols == s.symbols - 1
+    known = np.zeros(len(hashes), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        known = np.where(keys[at] == hashes, counts[at], 0)
+    known[end] = v.docs
+    base = np.add.reduceat(np.log10(known + 1.0), first[:-1]) - np.diff(first) * np.log10(v.total + v.distinct + 1.0)
+    tail = (symbols >= s.top) & ~end
+    inside = np.zeros(len(symbols))
+    inside[tail] = np.log((known[tail] + 1.0) / v.tail_room[symbols[tail] - s.top])
+    total = score_stream(net, symbols, first) + np.add.reduceat(inside, first[:-1])
+    n = len(first) - 1
+    return [np.diff(first), np.add.reduceat((known > 0).astype(np.int64), first[:-1]), np.full(n, v.total, np.int64), base, total / np.log(10)]
+
+
 def scores(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -463,27 +494,19 @@ def scores(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         values, vocabulary = shared.value
-        symbols, first, hashes = _coded(left.column("text").combine_chunks(), vocabulary, s)
-        n = left.num_rows
-        if n == 0:
-            return pa.table({name: pa.array([], t) for name, t in zip(names, [left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+        net = Network(s, values)
+        types = [left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         keys, c = right.column("h").to_numpy().view(np.uint64), right.column("c").to_numpy()
         order = np.argsort(keys)
         keys, c = keys[order], c[order]
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            found = np.where(keys[at] == hashes, c[at], 0)
-        else:
-            found = np.zeros(len(hashes), np.int64)
-        end = symbols == s.symbols - 1
-        found[end] = vocabulary.docs
-        base = np.add.reduceat(np.log10(found + 1.0), first[:-1]) - np.diff(first) * np.log10(vocabulary.total + vocabulary.distinct + 1.0)
-        tail = (symbols >= s.top) & ~end
-        inside = np.zeros(len(symbols))
-        inside[tail] = np.log((found[tail] + 1.0) / vocabulary.tail_room[symbols[tail] - s.top])
-        total = score_stream(Network(s, values), symbols, first) + np.add.reduceat(inside, first[:-1])
-        arrays = [left.column("doc_id"), left.column("held_out"), np.diff(first), np.add.reduceat((found > 0).astype(np.int64), first[:-1]), np.full(n, vocabulary.total, np.int64), base, total / np.log(10)]
-        return pa.table(dict(zip(names, arrays, strict=True)))
+        out = [pa.table({name: pa.array([], t) for name, t in zip(names, types, strict=True)})]
+        if left.num_rows:
+            text = left.column("text").combine_chunks()
+            for a, b in textvec.slices(textvec.flat(text)[1], limit=s.part_bytes, docs=1 << 20):
+                found = scored_part(net, vocabulary, text.slice(a, b - a), keys, c)
+                arrays = [*(left.column(k).slice(a, b - a).combine_chunks() for k in ("doc_id", "held_out")), *found]
+                out.append(pa.table(dict(zip(names, arrays, strict=True))))
+        return pa.concat_tables(out)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)

@@ -122,3 +122,57 @@ def test_parts_hold_every_document():
     symbols, first, _ = language._coded(column, v, s)
     assert len(parts) > 5 and np.array_equal(np.concatenate([x for x, _ in parts]), symbols)
     assert np.array_equal(np.concatenate([np.diff(f) for _, f in parts]), np.diff(first))
+
+
+def plain_score(net, v, hashes, kinds, counts):
+    """Token by token, in double precision, as the model is defined."""
+    s, h = net.s, net.s.hidden
+    rank = {int(x): int(k) for x, k in zip(v.hashes, v.order, strict=True)}
+    state, total = np.zeros(h), 0.0
+    for key, kind in [*zip(hashes, kinds, strict=True), (None, None)]:
+        symbol = s.symbols - 1 if key is None else rank.get(int(key), s.top + int(kind))
+        logits = state @ net.wc.astype(float) + net.bc
+        out = symbol // s.per_class if symbol < s.top else symbol - s.top + s.classes
+        total += logits[out] - np.log(np.exp(logits).sum())
+        if symbol < s.top:
+            inner = state @ net.ww[out].astype(float) + net.bw[out]
+            total += inner[symbol % s.per_class] - np.log(np.exp(inner).sum())
+        elif key is not None:
+            total += np.log((counts.get(int(key), 0) + 1) / v.tail_room[kind])
+        x, u = net.x[symbol].astype(float), state @ net.u.astype(float)
+        z, r = (1 / (1 + np.exp(-(x[a : a + h] + u[a : a + h]))) for a in (0, h))
+        new = np.tanh(x[2 * h :] + r * u[2 * h :])
+        state = new + z * (state - new)
+    return total / np.log(10)
+
+
+def test_scores_match_a_plain_model():
+    s = language.Settings(top=20, classes=4, hidden=8, window=4, score_lanes=3)
+    texts = ["the stone went down the river " * 9, None, "", "x", "The tail of rare words 12 é", "the " * 70]
+    column = pa.array(texts)
+    seen = Counter()
+    coded = {}
+    for a, h, kinds, first in language.tokens(column):
+        for k in range(len(first) - 1):
+            coded[a + k] = h[first[k] : first[k + 1]], kinds[first[k] : first[k + 1]]
+            seen.update(coded[a + k][0].tolist())
+    top = [(int(np.array([x], np.uint64).view(np.int64)[0]), 0, c) for x, c in seen.most_common(7)]
+    v = language.Vocabulary(top, {t: (900, 60) for t in range(language.TAILS)}, 40, s)
+    net = language.Network.initial(s, v)
+    net.values += np.random.default_rng(8).normal(0, 0.3, len(net.values)).astype(np.float32)
+    keys = np.sort(np.array(list(seen), np.uint64))
+    counts = np.array([seen[int(k)] for k in keys])
+    got = language.scored_part(net, v, column, keys, counts)[4]
+    want = [plain_score(net, v, *coded[k], seen) for k in range(len(texts))]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_self_similar_words_are_known_apart(spark):
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - b for b in bits]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    ids = [k for k in range(60) if not held(k)][:3], [k for k in range(60) if held(k)][0]
+    rows = [(k, f"{x} stone") for k in ids[0]] + [(ids[1], f"{y} stone")]
+    got = {r.doc_id: r for r in language.scores(spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()}
+    assert got[ids[1]].n_known == 2 and got[ids[0][0]].n_known == 3
