@@ -1,8 +1,9 @@
 """Audio columns: polyphase resampling, log-mel filterbanks and hysteresis energy segmentation.
 
 A payload is stored as an 8-bit mono WAV file, byte for byte, and features are computed from the bytes
-read back. The log-mel frames are cut into patches of one fixed shape, each with its time span, which
-``tensor_table`` turns into a fixed-shape Arrow tensor column.
+read back. The log-mel frames are cut into patches of one fixed shape, each with its time span, and held as a
+fixed-shape Arrow tensor column (``tensors``); what ``digests`` states is read from that column. ``patches``
+gives the rows of all patches, and ``tensor_table`` makes the tensor column of rows that Spark has handed over.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal values, because
 every document is computed alone with shapes that depend on nothing else; other columns are ignored. Long
@@ -27,9 +28,9 @@ BLOCK = 64
 
 @dataclass(frozen=True)
 class Settings:
-    rate: int = 8000
-    up: int = 1
-    down: int = 2
+    rate: int = 6000
+    up: int = 2
+    down: int = 3
     taps: int = 16
     frame: int = 256
     hop: int = 128
@@ -148,10 +149,32 @@ def features(samples: bytes, s: Settings = DEFAULT) -> tuple[np.ndarray, list[tu
     return mel, spans
 
 
-def described(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
-    """Shape, mean of each band, and number and total time of the spans."""
-    means = ",".join(f"{v:.3f}" for v in mel.mean(0, dtype=np.float64))
-    return f"{mel.shape[0]}x{mel.shape[1]};{means};{len(spans)};{sum(b - a for a, b in spans):.3f}"
+@dataclass(frozen=True)
+class Patches:
+    """The patches of one signal: a fixed-shape tensor column, their time spans in seconds and their frames."""
+
+    log_mel: pa.FixedShapeTensorArray
+    t0: np.ndarray
+    t1: np.ndarray
+    n_frames: np.ndarray
+
+
+def tensors(mel: np.ndarray, s: Settings = DEFAULT) -> Patches:
+    """Log-mel rows as patches of ``patch`` x ``mels`` values, the last one padded with zeros."""
+    n = -(-len(mel) // s.patch)
+    full = np.zeros((n, s.patch, s.mels), np.float32)
+    full.reshape(-1, s.mels)[: len(mel)] = mel
+    held = np.minimum(len(mel) - np.arange(n) * s.patch, s.patch)
+    t0 = np.arange(n) * s.patch * s.hop / s.out_rate
+    return Patches(pa.FixedShapeTensorArray.from_numpy_ndarray(full), t0, t0 + ((held - 1) * s.hop + s.frame) / s.out_rate, held)
+
+
+def described(found: Patches, spans: list[tuple[float, float]]) -> str:
+    """Number and shape of the patches, frames, mean of each band, end of the last patch, and number and total time of the spans."""
+    values = found.log_mel.to_numpy_ndarray()
+    means = ",".join(f"{v:.3f}" for v in values.sum((0, 1), dtype=np.float64) / found.n_frames.sum())
+    shape = "x".join(map(str, values.shape))
+    return f"{shape};{found.n_frames.sum()};{means};{found.t1[-1]:.3f};{len(spans)};{sum(b - a for a, b in spans):.3f}"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -170,7 +193,8 @@ def digests(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         media = encode(payload_of(text or b""), s.rate)
         back, _ = decode(media)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        return len(text or b""), len(back), sha(back), zlib.crc32(back[-BLOCK:]), len(media), sha(media), described(*features(back, s))
+        mel, spans = features(back, s)
+        return len(text or b""), len(back), sha(back), zlib.crc32(back[-BLOCK:]), len(media), sha(media), described(tensors(mel, s), spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -193,16 +217,11 @@ def patches(media: DataFrame, id_col: str, media_col: str, s: Settings = DEFAULT
             for k, file in enumerate(batch.column(1).to_pylist()):
                 if file is None:
                     continue
-                mel, _ = features(decode(file)[0], s)
-                n = -(-len(mel) // s.patch)
-                full = np.zeros((n * s.patch, s.mels), np.float32)
-                full[: len(mel)] = mel
-                held = np.minimum(len(mel) - np.arange(n) * s.patch, s.patch)
-                t0 = np.arange(n) * s.patch * s.hop / s.out_rate
-                t1 = t0 + ((held - 1) * s.hop + s.frame) / s.out_rate
+                found = tensors(features(decode(file)[0], s)[0], s)
+                n = len(found.n_frames)
                 ids = pa.array([batch.column(0)[k].as_py()] * n, batch.schema.field(0).type)
-                values = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * s.patch * s.mels, full.ravel())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(n, dtype=np.int32)), pa.array(t0), pa.array(t1), pa.array(held.astype(np.int32)), values], [id_col, "patch", "t0", "t1", "n_frames", "log_mel"])
+                values = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * s.patch * s.mels, found.log_mel.storage.flatten())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(n, dtype=np.int32)), pa.array(found.t0), pa.array(found.t1), pa.array(found.n_frames.astype(np.int32)), values], [id_col, "patch", "t0", "t1", "n_frames", "log_mel"])
 
     return media.select(id_col, media_col).mapInArrow(run, schema)
 

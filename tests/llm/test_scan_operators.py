@@ -87,6 +87,50 @@ def test_segments_and_tensors(spark):
     assert [r["patch"] for r in one] == list(range(len(one))) and one[-1]["t1"] >= 5 and one[1]["t0"] == 32 * 128 / 4000
 
 
+def plain_feature(payload, s=audio.DEFAULT):
+    """The feature of a payload from the definitions, sample by sample and frame by frame."""
+    x = [(b - 128) / 128 for b in payload]
+    taps, n_out = s.taps, math.ceil(len(x) * s.up / s.down)
+    h = [np.sinc((k - (taps * s.up - 1) / 2) / max(s.up, s.down)) * (0.54 - 0.46 * math.cos(2 * math.pi * k / (taps * s.up - 1))) for k in range(taps * s.up)]
+    y = []
+    for m in range(n_out):
+        phase, at = m * s.down % s.up, m * s.down // s.up
+        own = h[phase :: s.up]
+        y.append(sum(c * x[at - j] for j, c in enumerate(own) if 0 <= at - j < len(x)) / sum(own))
+    n = max(1, math.ceil(max(0, len(y) - s.frame) / s.hop) + 1)
+    y += [0.0] * ((n - 1) * s.hop + s.frame - len(y))
+    to_mel, of_mel = lambda f: 2595 * math.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [of_mel(to_mel(s.out_rate / 2) * k / (s.mels + 1)) for k in range(s.mels + 2)]
+    rows, loud, state = [], [], False
+    for f in range(n):
+        part = np.array(y[f * s.hop : f * s.hop + s.frame])
+        k = np.arange(s.frame)
+        shaped = part * (0.5 - 0.5 * np.cos(2 * np.pi * k / (s.frame - 1)))
+        power = [abs((shaped * np.exp(-2j * np.pi * q * k / s.frame)).sum()) ** 2 for q in range(s.frame // 2 + 1)]
+        bins = [q * s.out_rate / s.frame for q in range(s.frame // 2 + 1)]
+        rows.append([math.log10(sum(p * max(0, min((b - lo) / (mid - lo), (hi - b) / (hi - mid))) for p, b in zip(power, bins)) + 1e-6) for lo, mid, hi in zip(edges, edges[1:], edges[2:])])
+        db = 10 * math.log10((part**2).mean() + 1e-9)
+        state = db >= s.on_db or (state and db >= s.off_db)
+        loud.append(state)
+    begins = [f for f in range(n) if loud[f] and (f == 0 or not loud[f - 1])]
+    ends = [f for f in range(n) if loud[f] and (f == n - 1 or not loud[f + 1])]
+    total = sum((b * s.hop + s.frame - a * s.hop) / s.out_rate for a, b in zip(begins, ends))
+    last = (n - 1) % s.patch
+    end = ((n - 1 - last) * s.hop + last * s.hop + s.frame) / s.out_rate
+    return [math.ceil(n / s.patch), s.patch, s.mels, n, *np.mean(rows, axis=0), end, len(begins), total]
+
+
+@pytest.mark.parametrize("text", ["", "short words", "the river went down to the mill and " * 140, "\x00\x7f~" * 900 + "zzz" * 700])
+def test_features_match_their_definitions(text):
+    payload = audio.payload_of(text.encode())
+    mel, spans = audio.features(payload)
+    found = audio.tensors(mel)
+    assert isinstance(found.log_mel.type, pa.FixedShapeTensorType) and found.log_mel.type.shape == [32, 24]
+    shape, n, means, end, count, total = audio.described(found, spans).split(";")
+    got = [*map(float, shape.split("x")), float(n), *map(float, means.split(",")), float(end), float(count), float(total)]
+    assert np.allclose(got, plain_feature(payload), atol=2e-3)
+
+
 def slow_base(text):
     out = []
     for kind, pattern in zip(pii.KINDS, (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"), strict=True):
