@@ -1,18 +1,21 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is cut into chunks, and each chunk is compressed with the dictionary of good text, with that of bad
-text and with none. The difference of the two compressed sizes over their sum says which dictionary explains
-the text better; the size without a dictionary over the length says how repetitive it is. Both figures are
-taken from two views: the bytes, and their shape (runs of letters become one letter, digits one digit),
-which shows layout and junk whatever the words. A logistic curve fitted to labelled texts that are not in
-the dictionaries turns the four figures into a score between 0 and 1.
-
-The dictionaries and the curve are fitted on a bounded sample: of each label the ``per_label`` rows with the
-smallest hash of their id, at most ``sample_chars`` characters of each. Scoring reads every whole text.
+A text is cut into chunks, and each chunk is compressed with the dictionary of good text and with that of bad
+text. The difference of the two compressed sizes over their sum says which dictionary explains the text better.
+It is taken from three views: the bytes, their shape (runs of letters become one letter, digits one digit), which
+shows layout and junk whatever the words, and their rhythm (one byte a word: how often in a row it
+repeats the word before, or else its length). A logistic curve turns the three differences into a score between 0 and 1.
+
+All of it is fitted on a bounded sample: of each label the ``per_label`` rows with the smallest hash of their id.
+Dictionaries are trained on ``pieces`` stretches of ``piece`` bytes of every sampled text, evenly over its whole
+length. The curve is fitted to the differences of whole sampled texts, which are made where the texts are read:
+the sample is dealt to two folds, and each text is measured by the dictionaries of the other fold. The final
+dictionaries come from all sampled rows. Scoring reads every whole text.
 
 Defined results: null and empty texts are scored as empty; without rows of both labels every score is the
 share of good labels (0.5 without labels); rows with a null id are scored and never learned from; repeated
-rows get equal scores; other columns of either table are ignored.
+rows get equal scores; a very long text is compressed chunk by chunk to its end; of rows whose ids have equal
+hashes the smaller id is sampled; other columns of either table are ignored, and stay where rows are returned.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import textvec
+from ledgerline.llm.common import unused
 
 FOLDS, THRESHOLD = 5, 0.3
 
@@ -35,10 +39,10 @@ FOLDS, THRESHOLD = 5, 0.3
 @dataclass(frozen=True)
 class Settings:
     per_label: int = 2000
-    sample_chars: int = 20000
     dictionary: int = 65536
     piece: int = 600
-    chunk: int = 2048
+    pieces: int = 6
+    chunk: int = 256
     level: int = 9
 
 
@@ -63,39 +67,62 @@ def shape(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return kind[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
+def rhythm(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One byte a word: its length, up to 60, or how often it has repeated the word before it in a row.
+
+    The counts of a run differ from each other, so only a dictionary that has seen such runs makes them short.
+    """
+    words = textvec.Words(data, bounds, textvec.SPACE, lower=True)
+    out = np.minimum(words.ends - words.starts, 60).astype(np.uint8)
+    again = np.zeros(len(out), bool)
+    again[1:] = words.hashes[1:] == words.hashes[:-1]
+    again[words.first[:-1][words.first[:-1] < len(out)]] = False
+    at = np.arange(len(out))
+    run = at - np.maximum.accumulate(np.where(again, 0, at))
+    out[again] = (61 + (run[again] - 1) % 192).astype(np.uint8)
+    return out, words.first
+
+
+VIEWS = 3
+
+
 def _views(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield data, bounds
     yield shape(data, bounds)
+    yield rhythm(data, bounds)
 
 
 class Classifier:
-    """Dictionaries (bad and good, of each view), and the logistic curve over the four figures."""
+    """Dictionaries (bad and good, of each view), and the logistic curve over their differences."""
 
     def __init__(self, dictionaries: list[tuple[bytes, bytes]], settings: Settings, prior: float):
         self.dictionaries, self.settings, self.prior = dictionaries, settings, prior
         self.mean = self.scale = self.weights = None
 
-    def _compressors(self) -> list[list[zstandard.ZstdCompressor]]:
-        plain = {"level": self.settings.level, "write_content_size": False}
+    def _compressors(self) -> list[tuple[zstandard.ZstdCompressor, ...]]:
+        level = self.settings.level
 
         def of(raw: bytes) -> zstandard.ZstdCompressor:
-            return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_dict_id=False, **plain)
+            held = zstandard.ZstdCompressionDict(raw)
+            held.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(level=level, dict_data=held, write_dict_id=False, write_content_size=False)
 
-        return [[of(bad), of(good), zstandard.ZstdCompressor(**plain)] for bad, good in self.dictionaries]
+        return [(of(bad), of(good)) for bad, good in self.dictionaries]
 
     def figures(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(bounds) - 1, 4))
+        """The normalised size difference of each text in each view."""
+        out = np.zeros((len(bounds) - 1, len(self.dictionaries)))
         step = self.settings.chunk
         compressors = self._compressors()
         for a, b in textvec.slices(bounds, limit=8 << 20, docs=1 << 20):
             part = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
             for v, (raw, edges) in enumerate(_views(*part)):
-                bad, good, none = compressors[v]
+                bad, good = compressors[v]
                 held = memoryview(np.ascontiguousarray(raw))
                 for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                     chunks = [held[at : min(at + step, y)] for at in range(x, y, step)]
-                    of_bad, of_good, of_none = (sum(len(c.compress(p)) for p in chunks) for c in (bad, good, none))
-                    out[a + k, 2 * v : 2 * v + 2] = (of_bad - of_good) / (of_bad + of_good + 1), of_none / (y - x + 1)
+                    of_bad, of_good = (sum(len(c.compress(p)) for p in chunks) for c in (bad, good))
+                    out[a + k, v] = (of_bad - of_good) / (of_bad + of_good + 1)
         return out
 
     def calibrate(self, figures: np.ndarray, labels: np.ndarray, rounds: int = 60) -> None:
@@ -116,28 +143,42 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], settings: Settings = DEFAULT) -> Classifier:
-    """Dictionaries from the middle of the first texts of each label, the curve from the texts after them."""
-    y = np.array(labels)
-    n_pieces = settings.dictionary // settings.piece
-    of = {label: np.flatnonzero(y == label) for label in (0, 1)}
-    used = {label: at[: min(n_pieces, len(at) // 2)] for label, at in of.items()}
-    pools = {label: textvec.flat(pa.array([texts[k] for k in at], pa.string())) for label, at in used.items()}
-
-    def pool(label: int, view: int) -> bytes:
-        data, bounds = list(_views(*pools[label]))[view]
-        pieces = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            a += max(0, (b - a - settings.piece) // 2)
-            pieces.append(data[a : min(b, a + settings.piece)].tobytes())
-        return b"".join(pieces)[: settings.dictionary]
-
-    dictionaries = [(pool(0, view), pool(1, view)) for view in (0, 1)] if y.size else [(b"", b"")] * 2
-    made = Classifier(dictionaries, settings, float(y.mean()) if len(y) else 0.5)
-    rest = np.setdiff1d(np.arange(len(y)), np.concatenate(list(used.values())))
-    if all(len(d) >= 8 for pair in dictionaries for d in pair) and len(set(y[rest])) == 2:
-        made.calibrate(made.figures(*textvec.flat(pa.array([texts[k] for k in rest], pa.string()))), y[rest])
-    return made
+def stretches(data: np.ndarray, bounds: np.ndarray, s: Settings) -> list[list[bytes]]:
+    """Of each text up to ``pieces`` stretches of ``piece`` bytes, evenly from its start to its end; texts that are shorter give all."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        n = min(s.pieces, -(-(b - a) // s.piece))
+        starts = [a + (b - a - s.piece) * k // (n - 1) for k in range(n)] if n > 1 else [a] * n
+        out.append([data[max(a, x) : min(b, x + s.piece)].tobytes() for x in starts])
+    return out
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes | None:
+    """A trained zstandard dictionary; where there is too little to train on, the samples themselves, or none."""
+    whole, long = b"".join(samples), [x for x in samples if len(x) >= 8]
+    if len(whole) < 8:
+        return None
+    total = sum(map(len, long))
+    if len(long) < 8 or total < 4096:  # the trainer is not made for less
+        return whole[-size:]
+    try:
+        return zstandard.train_dictionary(min(size, total // 8), long, k=256, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return whole[-size:]
+
+
+def _sampled(labels: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, label, fold) of the sample: a row of a label is in it by the hash of its id, and in a fold by its place."""
+    usable = labels.select("doc_id", F.col("quality").alias("label")).where((_remainder("doc_id") != 0) & F.col("label").isin(0, 1))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = usable.where("label = 0").orderBy(*order).limit(s.per_label).unionAll(usable.where("label = 1").orderBy(*order).limit(s.per_label))
+    return chosen.distinct().withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int"))
+
+
+def _trained(rows: list, s: Settings) -> list[tuple[bytes, bytes]] | None:
+    """Dictionaries of each view from rows (label, view, pieces), or none if a label has too little text."""
+    made = [tuple(dictionary([p for r in rows if r.label == label and r.view == view for p in r.pieces], s.dictionary) for label in (0, 1)) for view in range(VIEWS)]
+    return None if any(d is None for pair in made for d in pair) else made
 
 
 def _remainder(id_col: str) -> F.Column:
@@ -145,20 +186,47 @@ def _remainder(id_col: str) -> F.Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> Classifier:
-    """A classifier from the labelled rows outside the held-out fold; at most 2 x ``per_label`` rows reach the driver."""
-    usable = labels.select("doc_id", F.col("quality").alias("label")).where((_remainder("doc_id") != 0) & F.col("label").isin(0, 1))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = usable.where("label = 0").orderBy(*order).limit(settings.per_label).unionAll(usable.where("label = 1").orderBy(*order).limit(settings.per_label))
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, settings.sample_chars)
-    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # per_label bounds the chosen rows
-    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 & (2**64 - 1), r.label))
-    return train([r.text for r in rows], [r.label for r in rows], settings)
+    """A classifier from the labelled rows outside the held-out fold; of at most 2 x ``per_label`` rows stretches and figures reach the driver."""
+    s = settings
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    found = docs.select("doc_id", text).join(F.broadcast(_sampled(labels, s)), "doc_id")  # per_label bounds the sample
+    found = found.groupBy("doc_id", "label", "fold").agg(F.min("text").alias("text"))  # of rows that share an id the smallest text
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for view, part in enumerate(_views(*textvec.flat(batch.column(3)))):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([view] * batch.num_rows, pa.int32()), pa.array(stretches(*part, s), pa.list_(pa.binary()))], ["doc_id", "label", "fold", "view", "pieces"])
+
+    kinds = dict(found.dtypes)
+    found = found.select("doc_id", "label", "fold", "text")
+    rows = found.mapInArrow(pieces, f"doc_id {kinds['doc_id']}, label {kinds['label']}, fold int, view int, pieces array<binary>").collect()
+    rows.sort(key=lambda r: (r.view, r.label, str(r.doc_id)))
+    good = [r.label for r in rows if r.view == 0]
+    made = Classifier([], s, sum(good) / len(good) if good else 0.5)
+    by_fold = [_trained([r for r in rows if r.fold != fold], s) for fold in (0, 1)]
+    final = _trained(rows, s)
+    if final is None or None in by_fold:
+        return made
+    shared = docs.sparkSession.sparkContext.broadcast([Classifier(d, s, 0.5) for d in by_fold])
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = batch.column(2).to_numpy()
+            for k, classifier in enumerate(shared.value):
+                own = batch.filter(pa.array(fold == k))
+                values = classifier.figures(*textvec.flat(own.column(3)))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(v) for v in values.T)], ["doc_id", "label", *columns])
+
+    columns = [f"view{k}" for k in range(VIEWS)]
+    measured = found.mapInArrow(figures, f"doc_id {kinds['doc_id']}, label {kinds['label']}, " + ", ".join(f"{c} double" for c in columns)).collect()
+    measured.sort(key=lambda r: (r.label, str(r.doc_id)))
+    made.dictionaries = final
+    made.calibrate(np.array([[r[c] for c in columns] for r in measured]), np.array([r.label for r in measured]))
+    return made
 
 
 def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text", out: str = "score") -> DataFrame:
-    """The documents with their score; all columns stay (but for one named as ``out``)."""
-    docs = docs.drop(out)
+    """The documents with their score in a further column ``out``."""
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
@@ -179,4 +247,5 @@ def scores(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) ->
 
 def kept(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The documents that the classifier does not reject; all columns stay."""
-    return scored(docs, fitted(docs, labels, settings), out="quality_score").where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    (out,) = unused(docs, "quality_score")
+    return scored(docs, fitted(docs, labels, settings), out=out).where(F.col(out) >= THRESHOLD).drop(out)

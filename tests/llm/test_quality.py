@@ -1,10 +1,12 @@
 """The compression classifier: held-out accuracy, defined results and independence of batches."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 from ledgerline.llm import quality, textvec
 
@@ -64,3 +66,53 @@ def test_shape_keeps_documents_apart():
     data, bounds = textvec.flat(pa.array(["abC 12é!", "", "aa", "AAb"]))
     got, edges = quality.shape(data, bounds)
     assert [got[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [b"aA 00a!", b"", b"a", b"Aa"]
+
+
+def plain_views(text):
+    """Bytes, shape and rhythm of a text, symbol by symbol."""
+    raw = text.encode()
+    kinds = ["a" if 97 <= b < 123 or b >= 128 else "A" if 65 <= b < 91 else "0" if 48 <= b < 58 else chr(b) for b in raw]
+    shape = "".join(k for n, k in enumerate(kinds) if not (k in "aA" and n and kinds[n - 1] == k)).encode()
+    rhythm, before, run = bytearray(), None, 0
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", raw):
+        low = bytes(b + 32 if 65 <= b < 91 else b for b in word)
+        run = run + 1 if low == before else 0
+        rhythm.append(61 + (run - 1) % 192 if run else min(len(word), 60))
+        before = low
+    return raw, shape, bytes(rhythm)
+
+
+def plain_score(classifier, text):
+    s, figures = classifier.settings, []
+    for view, pair in zip(plain_views(text), classifier.dictionaries, strict=True):
+        sizes = []
+        for own in pair:
+            compressor = zstandard.ZstdCompressor(level=s.level, dict_data=zstandard.ZstdCompressionDict(own), write_dict_id=False, write_content_size=False)
+            sizes.append(sum(len(compressor.compress(view[k : k + s.chunk])) for k in range(0, len(view), s.chunk)))
+        figures.append((sizes[0] - sizes[1]) / (sizes[0] + sizes[1] + 1))
+    z = sum(w * (f - m) / d for w, f, m, d in zip(classifier.weights, figures, classifier.mean, classifier.scale, strict=False)) + classifier.weights[-1]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_match_a_plain_version(spark):
+    rows = corpus(240)
+    texts = [(k, t) for k, t, _ in rows] + [(900, ""), (901, "Go go go GO é é 12 12,"), (902, "river " * 3000)]
+    d, lab = frames(spark, texts, [(k, y, 0, "z") for k, _, y in rows])
+    classifier = quality.fitted(d, lab, SMALL)
+    assert classifier.weights is not None and len(classifier.dictionaries) == quality.VIEWS
+    got = {r.doc_id: r.score for r in quality.scores(d, lab, SMALL).collect()}
+    assert all(abs(got[k] - plain_score(classifier, t)) < 1e-9 for k, t in texts)
+
+
+def test_a_column_of_the_scores_name_stays(spark):
+    rows = corpus(60)
+    d, lab = frames(spark, [(k, t) for k, t, _ in rows], [(k, y, 0, "z") for k, _, y in rows])
+    clash = d.withColumn("quality_score", d.score)
+    kept = quality.kept(clash, lab, SMALL)
+    assert kept.columns == clash.columns and {r.quality_score for r in kept.collect()} == {0.5}
+
+
+def test_stretches_reach_both_ends():
+    s = quality.Settings(piece=4, pieces=3)
+    data, bounds = textvec.flat(pa.array(["abcdefghijklmnop", "abc", "", "abcde"]))
+    assert quality.stretches(data, bounds, s) == [[b"abcd", b"ghij", b"mnop"], [b"abc"], [], [b"abcd", b"bcde"]]
