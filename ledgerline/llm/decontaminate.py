@@ -7,17 +7,18 @@ suffix positions, and the word ranges that they cover are merged into removal sp
 
 Nothing is shuffled: documents stay where they are read, and the coded benchmark goes to the executors.
 Its size is checked first; a benchmark of more than ``BLOCK_BYTES`` of text is dealt to several blocks that
-pass over the documents one after the other, so memory does not grow with it.
+pass over the documents one after the other, so memory does not grow with it: a block has a window for about six
+bytes of text, and some 50 bytes are held for each.
 
 Defined results: null texts have no words; items without words have no windows; items of one id count
-once; an item with a null id is called "null"; repeated documents give repeated rows; only the id and text
-columns are read by ``scan``, while ``removed`` and ``kept`` keep all columns.
+once; an item with a null id is called "null"; repeated documents give repeated rows; a very long text is part of
+its shard whole; there are no ties, since every occurrence counts; all columns of the documents stay, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import textvec
+from ledgerline.llm.common import unused
 from ledgerline.llm.fmindex import FMIndex, expanded
 
 WINDOW = 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _SIEVE = 16
 
 
@@ -47,18 +49,20 @@ class Phrases:
         self.sieve[self.vocabulary & np.uint64((1 << _SIEVE) - 1)] = True
         self.items = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.items)}
-        owners: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
+        owner = np.array([number[name] for name, _ in items], np.int32)[textvec.row_of(words.first, len(coded))]
         coded = (coded + 1).astype(np.uint32)
-        for k, (name, _) in enumerate(items):
-            own = coded[words.first[k] : words.first[k + 1]]
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                owners[size][own[at : at + size].tobytes()].add(number[name])
+        sizes, row = np.minimum(words.counts, window), textvec.row_of(words.first, len(coded))
         self.windows = []  # of each length: patterns, and the items of each pattern as offsets and numbers
-        for size, found in sorted(owners.items()):
-            patterns = np.frombuffer(b"".join(found), np.uint32).reshape(-1, size)
-            counts = np.array([len(v) for v in found.values()])
-            self.windows.append((patterns, np.concatenate([[0], np.cumsum(counts)]), np.array([i for v in found.values() for i in sorted(v)])))
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            n = len(coded) - size + 1
+            at = np.flatnonzero((sizes[row[:n]] == size) & (row[:n] == row[size - 1 :]))
+            found = np.lib.stride_tricks.sliding_window_view(coded, size)[at]
+            order = np.lexsort([owner[at], *found.T[::-1]])
+            found, mine = found[order], owner[at][order]
+            fresh = np.concatenate([[True], (found[1:] != found[:-1]).any(1)])
+            once = fresh | np.concatenate([[True], mine[1:] != mine[:-1]])
+            begin = np.flatnonzero(fresh[once])
+            self.windows.append((found[fresh], np.append(begin, int(once.sum())), mine[once]))
         self.least = min((p.shape[1] for p, _, _ in self.windows), default=0)
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
@@ -139,7 +143,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield k, n, [(r.name, r.text) for r in part.toLocalIterator()]
 
 
-#: What ``scan`` adds; documents that have columns of these names lose them.
+#: What ``scan`` adds, under these names or, where documents have them, under others like them (``unused``).
 ADDED = ("decon_words", "decon_hits", "decon_items")
 
 
@@ -149,14 +153,14 @@ Finish = Callable[[pa.RecordBatch], pa.RecordBatch]
 def scan(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish: tuple[Finish, T.StructType] | None = None
 ) -> DataFrame:
-    """The documents with the columns ``ADDED``: words, merged hit spans (of words and of UTF-8 bytes), and sorted item names.
+    """The documents with three more columns (``ADDED``): words, merged hit spans (of words and of UTF-8 bytes), and sorted item names.
 
     ``finish`` is a last step on the batches, in the same Python process, and its schema.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*ADDED)
+    names = unused(docs, *ADDED)
     spans = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("first", T.IntegerType()), ("end", T.IntegerType()), ("byte_first", T.LongType()), ("byte_end", T.LongType()))]))
-    added = [T.StructField(n, t) for n, t in zip(ADDED, (T.LongType(), spans, T.ArrayType(T.StringType())), strict=True)]
+    added = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), spans, T.ArrayType(T.StringType())), strict=True)]
     at = docs.columns.index(text_col)
     out = docs
     for number, blocks, items in _blocks(benchmark, item_col, text_col, block_bytes):
@@ -165,14 +169,14 @@ def scan(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, later=bool(number), last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = _added(shared.value, batch, at, later)
+                found = _added(shared.value, batch, at, later, names)
                 yield last[0](found) if last else found
 
         out = out.mapInArrow(run, last[1] if last else T.StructType([*docs.schema.fields, *added]))
     return out
 
 
-def _added(phrases: Phrases, batch: pa.RecordBatch, at: int, later: bool) -> pa.RecordBatch:
+def _added(phrases: Phrases, batch: pa.RecordBatch, at: int, later: bool, added: list[str]) -> pa.RecordBatch:
     """A batch with its hits, or, for a later block of items, with more hits than before."""
     n_words, merged, pairs = occurrences(phrases, batch.column(at))
     hits: list[list] = [[] for _ in range(batch.num_rows)]
@@ -183,7 +187,7 @@ def _added(phrases: Phrases, batch: pa.RecordBatch, at: int, later: bool) -> pa.
         for doc, item in found.tolist():
             names[doc].add(phrases.items[item])
     if later:
-        for k, (old, more) in enumerate(zip(batch.column(ADDED[1]).to_pylist(), batch.column(ADDED[2]).to_pylist(), strict=True)):
+        for k, (old, more) in enumerate(zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
             hits[k] = _union([*map(list, (tuple(h.values()) for h in old)), *hits[k]])
             names[k] |= set(more)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("byte_first", pa.int64()), ("byte_end", pa.int64())]))
@@ -194,7 +198,7 @@ def _added(phrases: Phrases, batch: pa.RecordBatch, at: int, later: bool) -> pa.
         pa.array([sorted(x) for x in names], pa.list_(pa.string())),
     ]
     before = batch.columns[: batch.num_columns - 3 * later]
-    return pa.RecordBatch.from_arrays([*before, *own], [*batch.schema.names[: len(before)], *ADDED])
+    return pa.RecordBatch.from_arrays([*before, *own], [*batch.schema.names[: len(before)], *added])
 
 
 def _union(spans: list[list[int]]) -> list[list[int]]:
@@ -257,7 +261,8 @@ def removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_
 
 def kept(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, text_col: str = "text") -> DataFrame:
     """The documents in which windows of fewer than ``least_items`` items occur; all columns stay."""
-    return scan(docs, benchmark, text_col).where(F.size("decon_items") < least_items).select(*docs.columns)
+    added = unused(docs, *ADDED)
+    return scan(docs, benchmark, text_col).where(F.size(added[2]) < least_items).drop(*added)
 
 
 def digest(names: list[str]) -> str:

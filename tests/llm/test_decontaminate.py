@@ -97,3 +97,15 @@ def test_removal_keeps_the_rest_byte_for_byte(spark):
 def test_expanded_ranges():
     values, which = expanded(np.array([3, 5, 9]), np.array([5, 5, 10]))
     assert values.tolist() == [3, 4, 9] and which.tolist() == [0, 0, 2]
+
+
+def test_columns_of_internal_names_stay(spark):
+    item = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(1, f"start {item} end", 7, "x"), (2, "clean words", 8, "y")], "doc_id long, text string, decon_words int, Decon_Items string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for blocks in (1 << 20, 8):
+        out = {r.doc_id: r for r in decontaminate.removed(docs, benchmark).collect()}
+        assert out[1].text == "start  end" and (out[1].decon_words, out[2].Decon_Items) == (7, "y")
+        left = decontaminate.kept(docs, benchmark)
+        assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "clean words", 8, "y")]
+        assert decontaminate.scan(docs, benchmark, block_bytes=blocks).columns[:4] == docs.columns
