@@ -204,16 +204,22 @@ class Network:
             state += new
         return before, state, caches
 
+    @staticmethod
+    def _small(weights: np.ndarray, biases: np.ndarray) -> bool:
+        """Whether no state, which lies between -1 and 1, can give an output whose exponential leaves the range of a float."""
+        return bool((np.abs(weights).sum(-2) + np.abs(biases)).max() < 60)
+
     def log_probabilities(self, before: np.ndarray, symbols: np.ndarray, grads: Network | None = None, weight: np.ndarray | None = None):
         """Natural log-probability of class and word-in-class of each token; with ``grads``, also the gradient of the states."""
         kind, place = self.outputs(symbols)
         logits = before @ self.wc
         logits += self.bc
-        logits -= logits.max(1, keepdims=True)
+        if not self._small(self.wc, self.bc):
+            logits -= logits.max(1, keepdims=True)
         who = np.arange(len(symbols))
         own = logits[who, kind]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits @ np.ones(logits.shape[1], np.float32)
         out = own - np.log(total)
         back = None
         if grads is not None:
@@ -233,10 +239,11 @@ class Network:
         for c, at in ranges:
             np.matmul(states[at], self.ww[c], out=inner[at])
             inner[at] += self.bw[c]
-        inner -= inner.max(1, keepdims=True)
+        if not self._small(self.ww, self.bw):
+            inner -= inner.max(1, keepdims=True)
         chosen = inner[row, mine]
         np.exp(inner, out=inner)
-        total = inner.sum(1)
+        total = inner @ np.ones(inner.shape[1], np.float32)
         out[order] += chosen - np.log(total)
         if grads is not None:
             inner *= (weight[order] / total)[:, None]
