@@ -26,6 +26,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     import ledgerline.plans.driver_queries  # noqa: F401  registers its queries
+    import ledgerline.plans.table_model  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

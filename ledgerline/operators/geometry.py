@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.components import components
 from ledgerline.scratch import written
 
 
@@ -111,30 +112,52 @@ def placed(points: DataFrame, rings: DataFrame, reach: float, cell: float) -> Da
 def membership(points: DataFrame, rings: DataFrame, tolerance: float, cell: float) -> DataFrame:
     """Observations (point, x, y, h, sigma) in figures: inside, or ambiguous within their doubt of the boundary.
 
-    The doubt is the tolerance plus the quadrature of the shot's own and the frame's uncertainty; an unknown
-    frame uncertainty (null sigma) makes every candidate ambiguous. What is outside is no row.
+    The doubt is the tolerance plus the quadrature of the shot's own and the frame's uncertainty. An unknown
+    frame uncertainty (null sigma) is no bound, so such a shot is ambiguous in every figure of the question;
+    its clearance is not measured. What is outside is no row.
     """
     doubt = F.lit(tolerance) + F.hypot(F.col("h"), F.coalesce("sigma", F.lit(0.0)))
-    reach = points.agg(F.max(doubt)).first()[0] or 0.0
-    found = placed(points, rings, float(reach), cell).withColumn("doubt", doubt)
-    state = F.when(F.col("sigma").isNull() | (F.abs("clearance") <= F.col("doubt")), "ambiguous").when(F.col("winding") != 0, "inside")
-    return found.withColumn("state", state).where("state is not null")
+    known = points.where("sigma is not null")
+    reach = known.agg(F.max(doubt)).first()[0] or 0.0  # how far figures are looked for; each shot is judged by its own doubt
+    found = placed(known, rings, float(reach), cell).withColumn("doubt", doubt)
+    state = F.when(F.abs("clearance") <= F.col("doubt"), "ambiguous").when(F.col("winding") != 0, "inside")
+    judged = found.withColumn("state", state).where("state is not null")
+    none = F.lit(None).cast("double")
+    unbounded = points.where("sigma is null").crossJoin(rings.select("figure").distinct())  # every pair is a row of the answer
+    return judged.unionByName(unbounded.select(*points.columns, "figure", F.lit(None).cast("long").alias("winding"), none.alias("clearance"), none.alias("doubt"), F.lit("ambiguous").alias("state")))
+
+
+GRID = 64  # cells a side
 
 
 def nearest(queries: DataFrame, shots: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest shots (shot, sx, sy, ...) of each query (query, x, y), ties by shot; every shot is compared.
+    """The ``k`` nearest shots (shot, sx, sy, ...) of each query (query, x, y), ties by shot.
 
-    Queries are few by nature (the points of one question); shots are aggregated as they are read, and a
-    query keeps ``k`` rows of each task before anything is exchanged.
+    Shots are counted in the cells of a grid over their bounds, of at most 64 x 64 cells. The furthest corners of
+    a query's nearest cells that hold ``k`` shots together bound its answer; only shots of cells that come
+    closer than that bound are compared with the query.
     """
+    box = shots.agg(*[f(c).alias(n) for c, n, f in (("sx", "x0", F.min), ("sx", "x1", F.max), ("sy", "y0", F.min), ("sy", "y1", F.max))]).first()
+    if box.x0 is None:
+        x0 = y0 = 0.0
+        wide = high = 1.0
+    else:
+        x0, y0, wide, high = box.x0, box.y0, (box.x1 - box.x0) / GRID or 1.0, (box.y1 - box.y0) / GRID or 1.0
+    place = lambda c, low, step: F.least(F.floor((F.col(c) - low) / step), F.lit(GRID - 1))
+    held = shots.withColumns({"_gx": place("sx", x0, wide), "_gy": place("sy", y0, high)})
+    cells = held.groupBy("_gx", "_gy").agg(F.count("*").alias("n"), F.min("sx").alias("ax"), F.max("sx").alias("bx"), F.min("sy").alias("ay"), F.max("sy").alias("by"))
+    paired = queries.crossJoin(F.broadcast(cells))  # at most 4096 rows
+    far = F.hypot(F.greatest(F.abs(F.col("x") - F.col("ax")), F.abs(F.col("x") - F.col("bx"))), F.greatest(F.abs(F.col("y") - F.col("ay")), F.abs(F.col("y") - F.col("by"))))
+    gap = lambda p, a, b: F.greatest(F.lit(0.0), F.col(a) - F.col(p), F.col(p) - F.col(b))
+    paired = paired.withColumns({"far": far, "near": F.hypot(gap("x", "ax", "bx"), gap("y", "ay", "by"))})
+    by = Window.partitionBy("query")
+    sums = paired.withColumn("total", F.sum("n").over(by.orderBy("far", "_gx", "_gy")))
+    bounded = sums.withColumn("bound", F.coalesce(F.min(F.when(F.col("total") >= k, F.col("far"))).over(by), F.max("far").over(by)))
+    wanted = bounded.where("near <= bound").select("query", "x", "y", "_gx", "_gy")
     d = F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
-    paired = shots.join(F.broadcast(queries)).withColumn("distance", d)
-    rest = [c for c in paired.columns if c not in ("query", "x", "y", "distance", "shot")]
-    part = paired.withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy("query", "_part").orderBy("distance", "shot")
-    local = part.withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= k)
-    outer = Window.partitionBy("query").orderBy("distance", "shot")
-    return local.withColumn("n", F.row_number().over(outer)).where(F.col("n") <= k).select("query", "x", "y", "n", "shot", "distance", *rest)
+    rest = [c for c in shots.columns if c not in ("shot",)]
+    ranked = held.join(wanted, ["_gx", "_gy"]).withColumn("distance", d).withColumn("n", F.row_number().over(by.orderBy("distance", "shot")))
+    return ranked.where(F.col("n") <= k).select("query", "x", "y", "n", "shot", "distance", *rest)
 
 
 def inverse_distance(near: DataFrame, power: float = 2.0, tolerance: float = 0.0, value: str = "z") -> DataFrame:
@@ -160,21 +183,20 @@ def fall(elevations: DataFrame) -> DataFrame:
 def coincident(points: DataFrame, tolerance: float, key: list[str]) -> DataFrame:
     """Points (id, x, y, sigma) merged where they coincide within the tolerance, the most certain standing for all.
 
-    Candidates meet in the cells of a grid of the tolerance's size and its neighbours; components grow by
-    least labels until nothing changes.
+    A cell of a fine grid is as wide as its diagonal allows: all its points coincide, so it is one node, whatever
+    it holds. Nodes whose cells are near are linked if any two of their points are near enough, and components
+    are those of the nodes.
     """
-    gx, gy = F.floor(F.col("x") / tolerance), F.floor(F.col("y") / tolerance)
-    own = points.withColumns({"gx": gx, "gy": gy})
-    around = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = own.select(*key, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), around.alias("g")).select(*key, "other", "ox", "oy", "g.gx", "g.gy")
-    links = written(own.join(spread, [*key, "gx", "gy"]).where((F.col("id") != F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance)).select("id", "other"), "coincident")
-    labels = points.select("id", F.col("id").alias("label"))
-    while True:
-        step = links.join(labels.select(F.col("id").alias("other"), F.col("label").alias("l")), "other").groupBy("id").agg(F.min("l").alias("l"))
-        moved = written(labels.join(step, "id", "left").select("id", F.least("label", F.coalesce("l", "label")).alias("label"), (F.coalesce("l", "label") < F.col("label")).alias("changed")), "labels")
-        labels = moved.select("id", "label")
-        if not moved.where("changed").head(1):
-            break
-    return points.join(labels, "id").groupBy(*key, "label").agg(
+    side = tolerance / 1.4143  # a little less than the tolerance over the root of 2
+    own = points.withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)})
+    node = lambda: F.struct(*key, "gx", "gy")
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    around = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i, j in ahead]))
+    once = own.select(*key, "gx", "gy", "x", "y").distinct()
+    spread = once.select(*key, node().alias("a"), F.col("x").alias("ox"), F.col("y").alias("oy"), around.alias("g")).select(*key, "a", "ox", "oy", "g.gx", "g.gy")
+    near = once.withColumn("b", node()).join(spread, [*key, "gx", "gy"]).where(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance)
+    labels = components(written(near.select("a", "b").distinct(), "coincident"))
+    held = own.withColumn("id_", node()).join(labels.select(F.col("id").alias("id_"), "component"), "id_", "left").withColumn("component", F.coalesce("component", "id_"))
+    return held.groupBy(*key, "component").agg(
         F.min(F.struct("sigma", "id", "x", "y")).alias("best"), F.sort_array(F.collect_list("id")).alias("members")
     ).select(*key, F.col("best.id").alias("id"), F.col("best.x").alias("x"), F.col("best.y").alias("y"), F.col("best.sigma").alias("sigma"), "members")

@@ -1,13 +1,12 @@
 """Containment, membership, adjacency and references as relations.
 
-Depth-bounded walks are frontier loops: every step is one join of the frontier with the edges and one
+Walks are frontier loops: every step is one join of the frontier with the edges and one
 anti-join with what was seen, so a node is reached once, at its least depth, and cycles end. Steps are
 written to the shared folder, and only whether a frontier is empty reaches the driver.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,19 +37,48 @@ def descendants(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -
 
 
 def ancestors(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    return walk(nodes.where("within is not null").select(F.col("id").alias("source"), F.col("within").alias("target")), starts, depth)
+    """What holds each start, at any depth: chains double in each round, so rounds are the logarithm of the depth.
 
+    Where a chain comes back to a node, which a containment may not, ``walk`` gives each node once.
+    """
+    edges = nodes.where("within is not null").select(F.col("id").alias("source"), F.col("within").alias("target"))
+    if depth is not None:
+        return walk(edges, starts, depth)
+    begin = starts.select("start").distinct()
+    parts = [begin.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))]
+    jump, length = edges.select(F.col("source").alias("node"), F.col("target").alias("up")).distinct(), 1
+    while True:
+        held = reduce(DataFrame.unionAll, parts)
+        more = written(held.join(jump, "node").select("start", F.col("up").alias("node"), (F.col("depth") + length).alias("depth")), "chains")
+        if not more.head(1):
+            break
+        if more.join(held, ["start", "node"], "left_semi").head(1) or more.groupBy("start", "node").count().where("count > 1").head(1):
+            return walk(edges, starts)
+        parts.append(more)
+        jump = written(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")), "jumps")
+        length *= 2
+    return reduce(DataFrame.unionAll, parts).where("depth > 0")
 
-def closure(edges: DataFrame, levels: int = 10) -> DataFrame:
-    """Rows (ancestor, node, depth) of a forest of (parent, child) by a recursive query; cycles end at ``levels``."""
-    view = f"edges_{uuid.uuid4().hex}"
-    edges.select("parent", "child").createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(ancestor, node, depth) AS (
-          SELECT parent, child, 1 FROM {view}
-          UNION ALL
-          SELECT e.parent, u.node, u.depth + 1 FROM up u JOIN {view} e ON e.child = u.ancestor WHERE u.depth < {int(levels)}
-        ) SELECT ancestor, node, min(depth) AS depth FROM up GROUP BY ancestor, node""")
+
+def closure(edges: DataFrame) -> DataFrame:
+    """Rows (ancestor, node, depth) of a forest of (parent, child), at any depth; a cycle is an error.
+
+    Paths double in each round: those of up to n steps, put behind jumps of exactly n, are those of up to 2 n.
+    """
+    jump = written(edges.where("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure")
+    parts, length = [jump], 1
+    while True:
+        if parts[-1].where("node = ancestor").head(1):
+            raise ValueError("the relation has a cycle")
+        held = reduce(DataFrame.unionAll, parts).select(F.col("node").alias("middle"), "ancestor", "depth")
+        first = jump.select("node", F.col("ancestor").alias("middle"))
+        more = written(first.join(held, "middle").select("node", "ancestor", (F.col("depth") + length).alias("depth")).distinct(), "closure")
+        if not more.head(1):
+            break
+        parts.append(more)
+        length *= 2
+        jump = more.where(F.col("depth") == length)
+    return reduce(DataFrame.unionAll, parts).groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
@@ -115,9 +143,23 @@ def duplicates(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def chain(claims: DataFrame) -> DataFrame:
-    """Supersession: each claim (id, superseded_by) with the claim that is current for it, and the steps to it."""
-    moved = claims.where("superseded_by is not null").select(F.col("id").alias("source"), F.col("superseded_by").alias("target"))
-    reached = walk(moved, claims.select(F.col("id").alias("start")))
-    last = reached.groupBy("start").agg(F.max(F.struct("depth", "node")).alias("l"))
-    own = claims.select(F.col("id").alias("start")).distinct()
-    return own.join(last, "start", "left").select(F.col("start").alias("id"), F.coalesce("l.node", "start").alias("current"), F.coalesce("l.depth", F.lit(0)).alias("steps"))
+    """Supersession: each claim (id, superseded_by) with the claim that is current for it, and the steps to it.
+
+    Pointers jump over pointers, so rounds are the logarithm of the longest chain. A claim whose chain comes back
+    to itself has no current claim.
+    """
+    now = claims.groupBy("id").agg(F.max("superseded_by").alias("by")).select("id", F.coalesce("by", "id").alias("at"), F.col("by").isNotNull().cast("long").alias("steps"))
+    now = written(now, "pointers")
+    for _ in range(max(2, now.count().bit_length() + 1)):
+        hop = now.select(F.col("id").alias("at"), F.col("at").alias("far"), F.col("steps").alias("more"))
+        step = now.join(hop, "at", "left").select("id", F.coalesce("far", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("far", "at") != F.col("at")).alias("moved"))
+        moved = written(step, "pointers")
+        now = moved.drop("moved")
+        if not moved.where("moved").head(1):
+            return now.select("id", F.col("at").alias("current"), "steps")
+    return moved.select("id", F.when(~F.col("moved"), F.col("at")).alias("current"), F.when(~F.col("moved"), F.col("steps")).alias("steps"))
+
+
+def replaced(claims: DataFrame) -> DataFrame:
+    """(id, former): every claim that each claim has come to stand for, over all steps."""
+    return chain(claims).where("steps > 0").select(F.col("current").alias("id"), F.col("id").alias("former"))

@@ -47,9 +47,10 @@ def nearest(names: DataFrame, wanted: str, column: str = "id", most: int = 1) ->
 def routed(nodes: DataFrame, routes: DataFrame) -> DataFrame:
     """Each node (id, namespace, kind, type) with its file: exactly one rule must match, or ``file`` is null.
 
-    The rules are a registry and go to every task; a criterion that is null matches anything.
+    A criterion that is null matches anything, so this is a join without an equality; the rules are a registry, and
+    the planner sends the side that it knows to be small.
     """
-    rule = F.broadcast(routes.select(*[F.col(c).alias(f"r_{c}") for c in ("name", "namespace", "kind", "type", "file")]))
+    rule = routes.select(*[F.col(c).alias(f"r_{c}") for c in ("name", "namespace", "kind", "type", "file")])
     fits = F.lit(True)
     for c in ("namespace", "kind", "type"):
         fits = fits & (F.col(f"r_{c}").isNull() | (F.col(f"r_{c}") == F.col(c)))

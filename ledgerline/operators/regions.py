@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.kernels import plane
-from ledgerline.operators import frames
+from ledgerline.operators import budget, frames
 
 FIGURE = "array<array<struct<x:double,y:double>>>"
 
@@ -76,32 +76,53 @@ def meeting(left: DataFrame, right: DataFrame, cell: float, on: list[str] | None
     return pairs.where(~apart).where((F.col("gx") == first_x) & (F.col("gy") == first_y)).select(*on, "a", "b", "rings_a", "rings_b")
 
 
-def _paired(pairs: DataFrame, columns: dict[str, str], kernel: Callable[[plane.Figure, plane.Figure], tuple]) -> DataFrame:
+def _paired(pairs: DataFrame, columns: dict[str, str], kernel: Callable[..., tuple], tolerance: float | None = None) -> DataFrame:
+    """``kernel`` of the two figures and the tolerance of every pair, which is that of its row unless one is given."""
     kinds = dict(pairs.dtypes)
     added = ", ".join(f"{n} {t}" for n, t in columns.items())
+    own = F.lit(float(tolerance)) if tolerance is not None else F.col("tolerance")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(a, b, *kernel(_read(x), _read(y))) for a, b, x, y in zip(frame["a"], frame["b"], frame["rings_a"], frame["rings_b"], strict=True)]
+            rows = [(a, b, *kernel(_read(x), _read(y), t)) for a, b, x, y, t in zip(frame["a"], frame["b"], frame["rings_a"], frame["rings_b"], frame["tolerance"], strict=True)]
             yield pd.DataFrame(rows, columns=["a", "b", *columns])
 
-    return pairs.select("a", "b", "rings_a", "rings_b").mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}, {added}")
+    return pairs.select("a", "b", "rings_a", "rings_b", own.alias("tolerance")).mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}, {added}")
 
 
-def overlay(pairs: DataFrame, operation: str, tolerance: float) -> DataFrame:
-    """(a, b, rings, area) of union, intersection or difference of every pair."""
+def overlay(pairs: DataFrame, operation: str, tolerance: float | None) -> DataFrame:
+    """(a, b, rings, area) of union, intersection or difference of every pair; a pair may have a tolerance of its own."""
     kernel = {"union": plane.union, "intersection": plane.intersection, "difference": plane.difference}[operation]
 
-    def run(x: plane.Figure, y: plane.Figure) -> tuple:
-        out = kernel(x, y, tolerance)
+    def run(x: plane.Figure, y: plane.Figure, t: float) -> tuple:
+        out = kernel(x, y, t)
         return _write(out), plane.figure_area(out)
 
-    return _paired(pairs, {"rings": FIGURE, "area": "double"}, run)
+    return _paired(pairs, {"rings": FIGURE, "area": "double"}, run, tolerance)
 
 
-def containment(pairs: DataFrame, tolerance: float) -> DataFrame:
+def containment(pairs: DataFrame, tolerance: float | None) -> DataFrame:
     """(a, b, state): how b stands to a."""
-    return _paired(pairs, {"state": "string"}, lambda x, y: (plane.containment(x, y, tolerance),))
+    return _paired(pairs, {"state": "string"}, lambda x, y, t: (plane.containment(x, y, t),), tolerance)
+
+
+def reach_outside(pairs: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """(a, b, depth): how far b reaches past the boundary of a, 0 where it does not."""
+
+    def depth(x: plane.Figure, y: plane.Figure, t: float) -> tuple:
+        outside = plane.difference(y, x, t)
+        return (plane.overrun(outside, x) if outside else 0.0,)
+
+    return _paired(pairs, {"depth": "double"}, depth, tolerance)
+
+
+def points_outside(pairs: DataFrame) -> DataFrame:
+    """(a, b, depth): how far the one point that ``rings_b`` holds lies outside of a, 0 where it does not."""
+
+    def depth(x: plane.Figure, y: plane.Figure, _: float) -> tuple:
+        return (max(0.0, -plane.clearance(y[0][0], x)),)
+
+    return _paired(pairs, {"depth": "double"}, depth)
 
 
 def buffered(figs: DataFrame, distance: float, tolerance: float) -> DataFrame:
@@ -122,22 +143,32 @@ def derived_within(figs: DataFrame, tolerance: float, cell: float, on: list[str]
     return containment(pairs, tolerance).where("state = 'inside'").select(F.col("b").alias("inner"), F.col("a").alias("outer"))
 
 
-def siting(footprints: DataFrame, plots: DataFrame, tolerance: float, margin: float) -> DataFrame:
+def siting(footprints: DataFrame, plots: DataFrame, tolerance: float, margin: float, terms: DataFrame | None = None) -> DataFrame:
     """Verdicts (footprint, plot, clearance, sigma, verdict) on footprints (figure, plot, rings, sigma) in plots (figure, rings).
 
     The clearance is the gap to the plot's boundary inside, less than nothing by the overrun of a part outside,
     or by the gap of what lies outside altogether. Against the margin and one standard deviation: fits,
-    might-fit, does-not-fit, or unknown where the uncertainty is.
+    might-fit, does-not-fit, or unknown where the uncertainty is. With ``terms`` (figure, claim, kind, magnitude,
+    unit, source, ord) the uncertainty is the budget of both sides together, in which a claim or a systematic
+    source that both rest on counts once; without, the sigma of the footprint and, if plots have one, of the plot.
     """
-    pairs = footprints.select(F.col("figure").alias("b"), F.col("plot").alias("a"), F.col("rings").alias("rings_b"), "sigma").join(plots.select(F.col("figure").alias("a"), F.col("rings").alias("rings_a")), "a")
+    names = footprints.select(F.col("figure").alias("b"), F.col("plot").alias("a"), F.col("rings").alias("rings_b"), "sigma")
+    held = plots.select(F.col("figure").alias("a"), F.col("rings").alias("rings_a"), (F.col("sigma") if "sigma" in plots.columns else F.lit(0.0)).alias("sigma_a"))
+    pairs = names.join(held, "a").withColumn("sigma", F.hypot("sigma", "sigma_a"))
 
-    def clear(x: plane.Figure, y: plane.Figure) -> tuple:
+    def clear(x: plane.Figure, y: plane.Figure, _: float) -> tuple:
         outside = plane.difference(y, x, tolerance)
         if not outside or not plane.intersection(y, x, tolerance):
             return (plane.gap(y, x) * (-1 if outside else 1),)
         return (-plane.overrun(outside, x),)
 
-    found = _paired(pairs, {"clearance": "double"}, clear).join(pairs.select("a", "b", "sigma"), ["a", "b"])
+    if terms is not None:
+        both = pairs.select("a", "b", F.struct("a", "b").alias("answer"), F.explode(F.array("a", "b")).alias("figure"))
+        rows = both.join(terms, "figure").select("answer", "claim", "kind", "magnitude", "unit", "source", "ord")
+        bare = both.join(terms.select("figure"), "figure", "left_anti").select("answer")
+        known = budget.combined(budget.terms(rows), bare).select(F.col("answer.a").alias("a"), F.col("answer.b").alias("b"), "sigma")
+        pairs = pairs.drop("sigma").join(known, ["a", "b"], "left")
+    found = _paired(pairs, {"clearance": "double"}, clear, tolerance).join(pairs.select("a", "b", "sigma"), ["a", "b"])
     spare = F.col("clearance") - F.lit(margin)
     verdict = F.when(F.col("sigma").isNull(), "unknown").when(spare > F.col("sigma"), "fits").when(spare < -F.col("sigma"), "does-not-fit").otherwise("might-fit")
     return found.select(F.col("b").alias("footprint"), F.col("a").alias("plot"), "clearance", "sigma", verdict.alias("verdict"))
@@ -178,10 +209,10 @@ def plan(nodes: DataFrame, figs: DataFrame, claims: DataFrame | None = None) ->
     return out.join(notes, "id", "left")
 
 
-def carried(figs: DataFrame, steps: DataFrame, levels: int = 8) -> DataFrame:
+def carried(figs: DataFrame, steps: DataFrame) -> DataFrame:
     """Figures (figure, frame, rings) with their corners carried up to the root frame."""
     corners = figs.select("figure", "frame", F.posexplode("rings").alias("r", "ring")).select("figure", "frame", "r", F.posexplode("ring").alias("k", "p"))
-    moved = frames.at_root(corners.select("figure", "frame", "r", "k", "p.x", "p.y", F.lit(0.0).alias("z")), steps, levels)
+    moved = frames.at_root(corners.select("figure", "frame", "r", "k", "p.x", "p.y", F.lit(0.0).alias("z")), steps)
     rings = moved.groupBy("figure", "root", "r").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("c"))
     whole = rings.groupBy("figure", "root").agg(F.array_sort(F.collect_list(F.struct("r", F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("c")))).alias("rings"))
     return whole.select("figure", F.col("root").alias("frame"), F.transform("rings", lambda r: r["c"]).alias("rings"))

@@ -82,7 +82,7 @@ def resolve(claims: DataFrame, asked: DataFrame | None = None) -> DataFrame:
 
 def strict(resolved: DataFrame, predicates: DataFrame) -> DataFrame:
     """Adds ``status``: ambiguity of a strict predicate is an error, of any other a report."""
-    joined = resolved.join(F.broadcast(predicates.select(F.col("name").alias("predicate"), "strict")), "predicate", "left")
+    joined = resolved.join(predicates.select(F.col("name").alias("predicate"), "strict"), "predicate", "left")
     status = F.when(F.col("reason") == "unclaimed", 1).when((F.col("reason") == "ambiguous") & F.coalesce("strict", F.lit(False)), 5).when(F.col("reason") == "ambiguous", 4).otherwise(0)
     return joined.withColumn("status", status).drop("strict")
 

@@ -6,12 +6,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.catalogue import register
 from ledgerline.functions import units
 from ledgerline.operators import arcs, budget, frames, geometry, graph, lookup, regions, resolution, review, rules, surface
+from ledgerline.scratch import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,10 +75,10 @@ def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.audit(_claims(spark, sf_dir)).select("subject", "predicate", "sigma", "day", "status")
 
 
-@register("list_types", "SELECT p_type AS name, count(l_partkey) AS instances FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY ALL")
+@register("list_types", "SELECT p_type AS name, count(l_partkey) AS instances FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL")
 def list_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
-    nodes = _table(spark, sf_dir, "lineitem").where("l_quantity > 45").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("type"))
+    nodes = _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("type"))
     return lookup.list_types(part.select(F.col("p_type").alias("name")).distinct(), nodes)
 
 
@@ -107,9 +108,9 @@ def required_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.without(_parts(spark, sf_dir).select("id"), _claims(spark, sf_dir), "R")
 
 
-@register("get_nested", "SELECT o_orderkey AS id, count(l_orderkey) AS n_claims, string_agg(l_linenumber::VARCHAR || '/' || l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS claims FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' GROUP BY ALL")
+@register("get_nested", "SELECT o_orderkey AS id, count(l_orderkey) AS n_claims, string_agg(l_linenumber::VARCHAR || '/' || l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS claims FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def get_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = _table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("id"))
+    entities = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     claims = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), "l_linenumber", "l_partkey")
     texts = F.transform("claims", lambda c: F.concat_ws("/", c["l_linenumber"].cast("string"), c["l_partkey"].cast("string")))
     return lookup.nested(entities, claims).select("id", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("n_claims"), F.when(F.col("claims").isNotNull(), F.array_join(texts, ",")).alias("claims"))
@@ -165,19 +166,51 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(nodes, nodes.where("id LIKE 'o:%'").select(F.col("id").alias("start")))
 
 
-@register("containment_closure", """SELECT 'r:' || n_regionkey AS ancestor, 'n:' || n_nationkey AS node, 1 AS depth FROM nation
+@register("containment_closure", """WITH up AS (SELECT 'r:' || n_regionkey AS ancestor, 'n:' || n_nationkey AS node, 1 AS depth FROM nation
 UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey, 1 FROM customer
-UNION ALL SELECT 'r:' || n_regionkey, 'c:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+UNION ALL SELECT 'r:' || n_regionkey, 'c:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT * FROM up UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey, 1 FROM orders
+UNION ALL SELECT ancestor, 'o:' || o_orderkey, depth + 1 FROM orders JOIN up ON node = 'c:' || o_custkey""")
 def containment_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir).where("within IS NOT NULL AND id NOT LIKE 'o:%'")
+    nodes = _nodes(spark, sf_dir).where("within IS NOT NULL")
     return graph.closure(nodes.select(F.col("within").alias("parent"), F.col("id").alias("child")))
 
 
-_SIDES = "s AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS edge FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50), p AS (SELECT x.node AS a, y.node AS b, x.edge FROM s x JOIN s y ON x.edge = y.edge AND x.node <> y.node)"
+def _deep(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """Orders as containments that are ``length`` deep: each is within the one before it, but for the first of each run."""
+    key = F.col("o_orderkey")
+    orders = _table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy(key)))
+    up = F.lag(key).over(Window.partitionBy("o_custkey").orderBy(key))
+    return orders.select(key.alias("child"), F.when(F.col("n") % length != 1, up).alias("parent"), "n", "o_custkey")
+
+
+_DEEP = "g AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)"
+
+
+@register("closure_deep", f"WITH {_DEEP} SELECT a.id AS ancestor, b.id AS node, (b.n - a.n)::INT AS depth FROM g a JOIN g b ON a.c = b.c AND a.n < b.n AND (a.n - 1) // 40 = (b.n - 1) // 40")
+def closure_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containments up to 40 deep, none of which may be lost."""
+    return graph.closure(_deep(spark, sf_dir, 40))
+
+
+@register("ancestors_deep", f"WITH {_DEEP} SELECT b.id AS start, a.id AS node, (b.n - a.n)::INT AS depth FROM g a JOIN g b ON a.c = b.c AND a.n < b.n AND (a.n - 1) // 40 = (b.n - 1) // 40 WHERE b.id % 3 = 0")
+def ancestors_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _deep(spark, sf_dir, 40).select(F.col("child").alias("id"), F.col("parent").alias("within"))
+    return graph.ancestors(nodes, nodes.where("id % 3 = 0").select(F.col("id").alias("start")))
+
+
+@register("supersession_deep", f"WITH {_DEEP}, m AS (SELECT c, max(n) AS n FROM g GROUP BY c) SELECT g.id, l.id AS current, l.n - g.n AS steps FROM g JOIN m USING (c) JOIN g l ON l.c = g.c AND l.n = m.n")
+def supersession_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order superseded by the customer's next, so chains are as long as a customer's orders."""
+    later = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return graph.chain(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), later.alias("superseded_by")))
+
+
+_SIDES = "s AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS edge FROM lineitem), p AS (SELECT x.node AS a, y.node AS b, x.edge FROM s x JOIN s y ON x.edge = y.edge AND x.node <> y.node)"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("edge"))
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("edge"))
 
 
 @register("adjacent", f"WITH {_SIDES} SELECT a, b, string_agg(edge::VARCHAR, ',' ORDER BY edge) AS via FROM p GROUP BY ALL")
@@ -193,65 +226,20 @@ def adjacent_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = _table(spark, sf_dir, "lineitem").where("l_quantity > 48"), _table(spark, sf_dir, "orders")
+    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("node"), F.col("l_partkey").alias("zone"))
 
 
-@register("zones", "SELECT o_custkey AS node, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS zones FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48 GROUP BY ALL")
+@register("zones", "SELECT o_custkey AS node, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS zones FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.zones(_memberships(spark, sf_dir)).select("node", F.array_join(F.array_sort(F.col("zones").cast("array<string>")), ",").alias("zones"))
 
 
-@register("members", "SELECT l_partkey AS zone, count(DISTINCT o_custkey) AS n, min(o_custkey) AS first FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48 GROUP BY ALL")
+@register("members", "SELECT l_partkey AS zone, count(DISTINCT o_custkey) AS n, min(o_custkey) AS first FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.members(_memberships(spark, sf_dir)).select("zone", F.size("members").cast("long").alias("n"), F.col("members")[0].alias("first"))
 
 
-# The same operators over whole tables. The queries above keep the slices that their SQL states.
-
-
-@register("list_types_whole")
-def list_types_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part")
-    nodes = _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("type"))
-    return lookup.list_types(part.select(F.col("p_type").alias("name")).distinct(), nodes)
-
-
-@register("get_nested_whole")
-def get_nested_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    claims = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subject"), "l_linenumber", "l_partkey")
-    texts = F.transform("claims", lambda c: F.concat_ws("/", c["l_linenumber"].cast("string"), c["l_partkey"].cast("string")))
-    return lookup.nested(entities, claims).select("id", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("n_claims"), F.when(F.col("claims").isNotNull(), F.array_join(texts, ",")).alias("claims"))
-
-
-@register("containment_closure_whole")
-def containment_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir).where("within IS NOT NULL")
-    return graph.closure(nodes.select(F.col("within").alias("parent"), F.col("id").alias("child")))
-
-
-@register("adjacent_whole")
-def adjacent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("edge"))
-    return graph.adjacent(sides).select("a", "b", F.array_join(F.col("via").cast("array<string>"), ",").alias("via"))
-
-
-def _all_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("node"), F.col("l_partkey").alias("zone"))
-
-
-@register("zones_whole")
-def zones_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.zones(_all_memberships(spark, sf_dir)).select("node", F.array_join(F.array_sort(F.col("zones").cast("array<string>")), ",").alias("zones"))
-
-
-@register("members_whole")
-def members_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.members(_all_memberships(spark, sf_dir)).select("zone", F.size("members").cast("long").alias("n"), F.col("members")[0].alias("first"))
-
-
 @register("references", "SELECT 'c:' || c_custkey AS source, 'within' AS relation FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 's:' || s_suppkey, 'member-of' FROM supplier WHERE s_nationkey = 3")
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("source"), F.concat(F.lit("n:"), F.col("s_nationkey").cast("string")).alias("target"))
@@ -331,7 +319,7 @@ def frame_to_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     transform = F.struct(F.array((F.col("n_regionkey") * 10).cast("double"), F.col("n_nationkey").cast("double"), F.lit(0.0)).alias("translation"), turned.alias("rotation"), F.lit(2.0).alias("scale"))
     steps = nation.select(name("n", "n_nationkey").alias("frame"), F.lit("ft").alias("unit"), name("r", "n_regionkey").alias("parent"), transform.alias("transform"), F.lit("m").alias("parent_unit"))
     points = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name("n", "c_nationkey").alias("frame"), (F.col("c_custkey") % 100).cast("double").alias("x"), (F.col("c_custkey") % 7).cast("double").alias("y"), F.lit(0.0).alias("z"))
-    return frames.at_root(points, steps, 2).select("id", "root", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return frames.at_root(points, steps).select("id", "root", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +377,7 @@ def point_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("membership_band", f"""WITH {_BOXES}, {_SHOTS}, {_CLEAR}, e AS (SELECT *, 0.5 + sqrt(h * h + coalesce(sigma, 0) * coalesce(sigma, 0)) AS doubt FROM d),
-r AS (SELECT point, figure, CASE WHEN sigma IS NULL AND clearance >= -(SELECT max(doubt) FROM e) THEN 'ambiguous' WHEN abs(clearance) <= doubt THEN 'ambiguous' WHEN clearance > 0 THEN 'inside' END AS state FROM e) SELECT * FROM r WHERE state IS NOT NULL""")
+r AS (SELECT point, figure, CASE WHEN sigma IS NULL THEN 'ambiguous' WHEN abs(clearance) <= doubt THEN 'ambiguous' WHEN clearance > 0 THEN 'inside' END AS state FROM e) SELECT * FROM r WHERE state IS NOT NULL""")
 def membership_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.membership(_shots(spark, sf_dir), _figures(spark), 0.5, 25.0).select("point", "figure", "state")
 
@@ -509,8 +497,8 @@ def id_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("supersession", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey + 2 <= m THEN o_orderkey + 2 WHEN o_orderkey % 3 = 1 AND o_orderkey + 1 <= m THEN o_orderkey + 1 WHEN o_orderkey % 3 = 0 AND o_orderkey + 1 <= m THEN o_orderkey + 1 ELSE o_orderkey END AS current FROM orders, (SELECT max(o_orderkey) AS m FROM orders)")
 def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
-    last = orders.agg(F.max("o_orderkey").alias("m"))
-    claims = orders.join(F.broadcast(last)).select(F.col("o_orderkey").alias("id"), F.when((F.col("o_orderkey") % 3 < 2) & (F.col("o_orderkey") < F.col("m")), F.col("o_orderkey") + 1).alias("superseded_by"))
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    claims = orders.select(F.col("o_orderkey").alias("id"), F.when((F.col("o_orderkey") % 3 < 2) & (F.col("o_orderkey") < F.lit(last)), F.col("o_orderkey") + 1).alias("superseded_by"))
     return graph.chain(claims).select("id", "current")
 
 
@@ -529,15 +517,17 @@ _MEETING = f"{_SUPPLIER_BOXES}, p AS (SELECT a.k AS a, b.k AS b, least(a.x1, b.x
 
 @register("region_overlay", f"WITH {_MEETING} SELECT a, b, round(w * h, 4) AS common, round(area_a + area_b - w * h, 4) AS together FROM p WHERE w * h > 0")
 def region_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figs = regions.figures(_boxes(spark, sf_dir), 1e-6)
-    pairs = regions.meeting(figs, figs, 10.0).where("a < b")
-    common = regions.overlay(pairs, "intersection", 1e-6).where("area > 0").select("a", "b", F.round("area", 4).alias("common"))
-    return common.join(regions.overlay(pairs, "union", 1e-6).select("a", "b", F.round("area", 4).alias("together")), ["a", "b"])
+    """What two figures have in common comes from one overlay; what they cover together is the rest of both and that."""
+    figs = written(regions.figures(_boxes(spark, sf_dir), 1e-6), "figures")
+    common = regions.overlay(regions.meeting(figs, figs, 10.0).where("a < b"), "intersection", 1e-6).where("area > 0").withColumnRenamed("area", "common")
+    own = lambda side: figs.select(F.col("figure").alias(side), F.col("area").alias(f"area_{side}"))
+    both = common.join(own("a"), "a").join(own("b"), "b")
+    return both.select("a", "b", F.round("common", 4).alias("common"), F.round(F.col("area_a") + F.col("area_b") - F.col("common"), 4).alias("together"))
 
 
 @register("region_containment", f"WITH {_MEETING} SELECT a, b, CASE WHEN w * h = 0 THEN 'touching' WHEN w * h = area_a AND w * h = area_b THEN 'coincident' WHEN w * h = area_b THEN 'inside' WHEN w * h = area_a THEN 'surrounds' ELSE 'overlapping' END AS state FROM p")
 def region_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figs = regions.figures(_boxes(spark, sf_dir), 1e-6)
+    figs = written(regions.figures(_boxes(spark, sf_dir), 1e-6), "figures")
     return regions.containment(regions.meeting(figs, figs, 10.0).where("a < b"), 1e-6)
 
 
@@ -546,27 +536,51 @@ def region_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.figures(_boxes(spark, sf_dir), 1e-6).select("figure", F.round("area", 4).alias("area"), F.round("perimeter", 4).alias("perimeter"))
 
 
-@register("buildable", f"WITH {_SUPPLIER_BOXES} SELECT k AS figure, CASE WHEN k % 7 = 0 THEN 'refused' WHEN least(x1 - x0, y1 - y0) <= 2 THEN 'consumed' ELSE 'region' END AS status, CASE WHEN k % 7 > 0 AND least(x1 - x0, y1 - y0) > 2 THEN round((x1 - x0 - 2) * (y1 - y0 - 2), 1) END AS area FROM f WHERE least(x1 - x0, y1 - y0) <> 2")
+@register("buildable", f"WITH {_SUPPLIER_BOXES} SELECT k AS figure, CASE WHEN k % 7 = 0 THEN 'refused' WHEN least(x1 - x0, y1 - y0) <= 2 THEN 'consumed' ELSE 'region' END AS status, CASE WHEN k % 7 > 0 AND least(x1 - x0, y1 - y0) > 2 THEN round((x1 - x0 - 2) * (y1 - y0 - 2), 1) END AS area FROM f")
 def buildable(spark: SparkSession, sf_dir: str) -> DataFrame:
     rings = _boxes(spark, sf_dir)
-    size = rings.groupBy("figure").agg(F.least(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("least")).where("least <> 2").select("figure")
-    figs = regions.figures(rings.join(size, "figure"), 1e-6)
+    figs = regions.figures(rings, 1e-6)
     edges = geometry.sides(rings.select(F.col("figure").alias("ring"), "ord", "x", "y")).select(F.col("ring").alias("figure"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.when((F.col("ring") % 7 > 0) | (F.col("ord") > 0), 1.0).alias("setback"))
     left = regions.buildable(figs, edges, 1e-3)
     return left.select("figure", "status", F.when(F.col("status") == "region", F.round("area", 1)).alias("area"))
 
 
-@register("surface_elevation")
-def surface_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elevations of grid points on one triangulated surface for each event type, from its first shots by id."""
-    events = _table(spark, sf_dir, "events")
-    one = events.groupBy("event_type", (F.floor(F.col("value") / 25)).alias("gx"), ((F.col("event_id") % 97) / 10).cast("int").alias("gy")).agg(F.min(F.struct(F.col("event_id").alias("shot"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"), F.col("user_id").cast("double").alias("z"))).alias("s"))
-    shots = one.select(F.col("event_type").alias("region"), "s.shot", "s.x", "s.y", "s.z", F.lit(0.02).alias("sigma"))
-    grid = spark.createDataFrame(_GRID, "query int, x double, y double").crossJoin(events.select(F.col("event_type").alias("region")).distinct())
-    return surface.elevations(grid, surface.facets(shots)).select("query", "region", F.round("z", 5).alias("z"), F.round("sigma", 6).alias("sigma"))
+_SPOTS = [(k, 25.0 + 6.0 * k, 34.0 + 7.0 * k) for k in range(5)]
+_GROUND = "2.0 * {x} - 3.0 * {y} + 5.0"
+
 
+def _surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a shot of sloped ground; the shots of a kind and day are one survey, and equal places one shot."""
+    x, y = F.col("value"), (F.col("event_id") % 97).cast("double")
+    region = F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd"))
+    shots = _table(spark, sf_dir, "events").select(region.alias("region"), F.col("event_id").alias("shot"), x.alias("x"), y.alias("y"))
+    one = shots.groupBy("region", "x", "y").agg(F.min("shot").alias("shot"))
+    return one.select("region", "shot", "x", "y", (2.0 * F.col("x") - 3.0 * F.col("y") + 5.0).alias("z"), F.lit(0.02).alias("sigma"))
 
-@register("bound_rules", "SELECT 'required-claim' AS rule, count(*) AS rules, 0::BIGINT AS ran, count(*) AS unimplemented FROM part UNION ALL SELECT 'contained-areas-sum', count(*), count(*), 0 FROM part WHERE p_size > 25")
+
+@register("surface_elevation", f"""WITH q(query, x, y) AS (VALUES {", ".join(map(str, _SPOTS))}), r AS (SELECT DISTINCT event_type || '/' || strftime(ts, '%Y-%m-%d') AS region FROM events)
+SELECT query, region, round({_GROUND.format(x="x", y="y")}, 5)::DOUBLE AS z FROM q, r""")
+def surface_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevations on the triangulated surface of each survey; the ground is a plane, so any triangulation must give it back."""
+    shots = _surveys(spark, sf_dir)
+    spots = spark.createDataFrame(_SPOTS, "query int, x double, y double").crossJoin(shots.select("region").distinct())
+    return surface.elevations(spots, surface.facets(shots)).select("query", "region", F.round("z", 5).alias("z"))
+
+
+@register("surface_falls", f"""WITH r AS (SELECT DISTINCT event_type || '/' || strftime(ts, '%Y-%m-%d') AS region FROM events)
+SELECT region AS pair, 9.0::DOUBLE AS fall, round(sqrt(85.0::DOUBLE), 5) AS run, true AS decides FROM r""")
+def surface_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fall between two places of each survey, and whether it decides a demand of 1."""
+    shots = written(_surveys(spark, sf_dir), "shots")
+    facets = written(surface.facets(shots), "facets")
+    regions_ = shots.select("region").distinct()
+    spots = spark.createDataFrame(_SPOTS[:2], "query int, x double, y double").crossJoin(regions_)
+    found = written(surface.elevations(spots, facets).withColumn("query", F.concat_ws("#", "region", F.col("query").cast("string"))), "elevations")
+    pairs = regions_.select(F.col("region").alias("pair"), F.concat("region", F.lit("#0")).alias("start"), F.concat("region", F.lit("#1")).alias("end"))
+    return surface.falls(pairs, found, shots, 1.0).select("pair", F.round("fall", 5).alias("fall"), F.round("run", 5).alias("run"), "decides")
+
+
+@register("bound_rules", "SELECT 'required-claim' AS rule, count(*) AS rules, 0::BIGINT AS ran, 0::BIGINT AS failed, count(*) AS unimplemented FROM part UNION ALL SELECT 'contained-areas-sum', count(*), count(*), count_if(p_size > 40), 0 FROM part WHERE p_size > 25")
 def bound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     params = F.create_map(F.lit("predicate"), F.array(F.lit("width")))
@@ -574,8 +588,8 @@ def bound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = part.select(F.col("p_type").alias("name")).distinct().withColumn("invariants", F.array(rule("required-claim")))
     nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"))
     asserted = part.where("p_size > 25").select(F.col("p_partkey").alias("subject"), F.lit("contained-areas-sum").alias("check"), params.alias("params"))
-    none = spark.createDataFrame([], "check string, subject string, message string")
-    return rules.tallies(rules.bound(types, nodes, asserted), none).select(F.col("check").alias("rule"), "rules", "ran", "unimplemented")
+    failed = part.where("p_size > 40").select(F.lit("contained-areas-sum").alias("check"), F.col("p_partkey").cast("string").alias("subject"), F.lit("").alias("message"))
+    return rules.tallies(rules.bound(types, nodes, asserted), failed).select(F.col("check").alias("rule"), "rules", "ran", F.coalesce("failed", F.lit(0)).cast("long").alias("failed"), "unimplemented")
 
 
 @register("session_windows", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),

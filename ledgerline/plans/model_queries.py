@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.kernels import plane
 from ledgerline.operators import frames, graph, lookup, regions, resolution, review, rules
+from ledgerline.scratch import written
 from ledgerline.sources.entity import Model
 
 
@@ -77,8 +81,11 @@ def assembled(model: Model) -> DataFrame:
 
 
 def figures(model: Model, position: str, tolerance: float) -> DataFrame:
-    """Regions of all nodes with closed boundaries; a ring with a corner that has no position has no region."""
-    closed = rings(model).where("not open")
+    """Regions of all nodes with closed boundaries; a ring that does not close, or has a corner without a position, has no region."""
+    walked = rings(model).where("not open")
+    corners_of = F.size(F.array_distinct(F.flatten(F.collect_list(F.array("start", "end")))))
+    loose = walked.groupBy("node", "loop").agg(corners_of.alias("corners"), F.count("*").alias("n")).where("corners <> n")  # no ring has more corners than edges
+    closed = walked.join(loose.select("node"), "node", "left_anti")
     placed = closed.join(positions(model, position).select(F.col("vertex").alias("corner"), "x", "y", "sigma"), "corner", "left")
     known = placed.groupBy("node").agg(F.max(F.col("x").isNull().cast("int")).alias("missing"), F.max("sigma").alias("corner_sigma"))
     corners = placed.join(known.where("missing = 0").select("node"), "node", "left_semi").select(F.col("node").alias("figure"), F.col("loop_ord").alias("ring"), F.col("edge_ord").alias("ord"), "x", "y")
@@ -178,24 +185,88 @@ def at_root(model: Model, position: str) -> DataFrame:
     return frames.at_root(placed.select("vertex", "frame", "x", "y", "z"), frames.resolved(model.frames, model.claims))
 
 
+def subjects(model: Model) -> DataFrame:
+    """(id, frame) of everything that a rule may be about."""
+    out = model.nodes.select("id", "frame")
+    for t in (model.vertices, model.edges, model.loops):
+        out = out.unionAll(t.select("id", "frame"))
+    return out
+
+
+def transform_terms(model: Model) -> DataFrame:
+    """Accuracy terms (claim, kind, magnitude, unit, source, ord) of the claims that frames name as their transforms."""
+    held = model.live_claims.where("live").join(model.frames.select(F.col("transform_claim").alias("id")).distinct(), "id", "left_semi")
+    one = held.select(F.col("id").alias("claim"), F.posexplode("accuracy").alias("ord", "t"))
+    return one.select("claim", "t.kind", "t.magnitude", "t.unit", "t.source", "ord")
+
+
+def transform_budget(model: Model, pairs: DataFrame) -> DataFrame:
+    """Combined uncertainty of the routes between pairs (a, b) of frames."""
+    transforms = model.frames.where("parent is not null").select("frame", F.coalesce("transform_claim", F.lit("")).alias("claim"))
+    return frames.budgets(frames.paths(model.frames), pairs, transforms, transform_terms(model))
+
+
+def in_frame(model: Model, id_: str, position: str, target: str) -> DataFrame:
+    """A vertex's position in another frame, with the uncertainty of the route there."""
+    placed = positions(model, position).where(F.col("vertex") == id_).join(model.vertices.select(F.col("id").alias("vertex"), "frame"), "vertex")
+    points = placed.select("vertex", "frame", F.lit(target).alias("target"), "x", "y", "z", "sigma")
+    moved = frames.carried(points, frames.resolved(model.frames, model.claims))
+    budgets = transform_budget(model, points.select(F.col("frame").alias("a"), F.col("target").alias("b")))
+    return moved.join(budgets.select(F.col("a").alias("frame"), F.col("b").alias("target"), F.col("sigma").alias("route_sigma"), F.col("status").alias("route")), ["frame", "target"], "left")
+
+
+class Tables(dict):
+    """Tables by name that are made, and written once, when a check first reads them."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        super().__init__()
+        self.makers = makers
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = made = written(self.makers[name](), f"check-{name}")
+        return made
+
+
+def check_tables(model: Model, position: str, tolerance: float, bound: DataFrame) -> Tables:
+    """What the checks read. Figures are made for every position predicate that a rule names, or else for ``position``."""
+    named = [r.p for r in bound.select(F.element_at("params", "position")[0].alias("p")).where("p is not null").distinct().collect()]  # names of the registry
+    names = named or [position]
+    held = lambda name: F.lit(name if named else None).cast("string")
+    each = lambda make: reduce(DataFrame.unionByName, map(make, names))
+    walked = lambda: made["rings"]
+
+    def points(name: str) -> DataFrame:
+        ends = walked().where("open").select(F.col("node").alias("subject"), F.explode(F.array("start", "end")).alias("vertex")).distinct()
+        own = model.nodes.where("geometry = 'point'").select(F.col("id").alias("subject"), F.col("id").alias("vertex"))
+        at = made["positions"].where(F.col("predicate") == name).select("vertex", "x", "y", "sigma")
+        return ends.unionAll(own).join(at, "vertex").select("subject", held(name).alias("position"), "x", "y", "sigma")
+
+    def frame_claims() -> DataFrame:
+        stated = model.claims.where("rank <> 'deprecated'").select("subject", "predicate").unionAll(model.plain_values.select("subject", "predicate"))
+        return stated.join(model.frames.select(F.col("frame").alias("subject")), "subject", "left_semi").select(F.col("subject").alias("frame"), "predicate")
+
+    transforms = lambda: model.frames.where("parent is not null").select("frame", F.coalesce("transform_claim", F.lit("")).alias("claim"))
+    scales = lambda: frames.resolved(model.frames, model.live_claims).where("transform is not null").select("frame", F.col("transform.scale").alias("scale"))
+    scalars = lambda: resolved(model).where("value.scalar is not null").select("subject", "predicate", F.col("value.scalar").alias("value"), "sigma", F.col("value.unit").alias("value_unit"))
+    made = Tables({
+        "nodes": lambda: model.nodes, "rings": lambda: rings(model), "assembled": lambda: assembled(model), "positions": lambda: each(lambda n: positions(model, n).withColumn("predicate", F.lit(n))),
+        "areas": lambda: each(lambda n: figures(model, n, tolerance).withColumn("position", held(n))), "points": lambda: each(points),
+        "lengths": lambda: measure(model, names[0], tolerance).where("form = 'edge'").select(F.col("id").alias("figure"), "length"), "tolerances": lambda: model.tolerances, "resolved": scalars,
+        "backing": lambda: model.edges.select(F.col("id").alias("edge"), F.explode("backed_by").alias("element")), "subjects": lambda: subjects(model), "paths": lambda: frames.paths(model.frames),
+        "transforms": transforms, "terms": lambda: transform_terms(model), "frame_claims": frame_claims, "scales": scales,
+    })
+    return made
+
+
 def check(model: Model, position: str, tolerance: float, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Violations and tallies of all rules of a model."""
-    bound = rules.bound(model.types, model.nodes, model.assertions)
-    scalars = resolved(model).select("subject", "predicate", F.col("value.scalar").alias("value"), "sigma")
-    chain = frames.paths(model.frames)
-    held = frames.resolved(model.frames, model.live_claims).join(model.live_claims.where("sigma is not null").select(F.col("id").alias("transform_claim"), "sigma"), "transform_claim", "left")
-    steps = chain.join(held.select(F.col("frame").alias("ancestor"), "transform_claim", "sigma", F.col("transform.scale").alias("scale")), "ancestor")
-    sigma = steps.where("transform_claim is not null").groupBy("frame").agg(F.when(F.count("sigma") == F.count("*"), F.sqrt(F.sum(F.pow("sigma", F.lit(2.0))))).alias("sigma"))
-    stated = model.claims.where("predicate like '%ground-to-grid%'").select(F.col("subject").alias("ancestor")).distinct().withColumn("says", F.lit(1))
-    crs = model.claims.where("predicate like '%crs%'").select(F.col("subject").alias("ancestor")).distinct().withColumn("projects", F.lit(1))
-    frame_chain = steps.join(stated, "ancestor", "left").join(crs, "ancestor", "left").groupBy("frame").agg(
-        (F.count("projects") > 0).alias("projected"), (F.count("says") > 0).alias("stated"), (F.sum(F.when(F.col("scale") != 1.0, 1).otherwise(0)) > 0).alias("scaled")
-    )
-    tables = {
-        "nodes": model.nodes, "rings": rings(model), "areas": figures(model, position, tolerance), "tolerances": model.tolerances, "resolved": scalars,
-        "backing": model.edges.select(F.col("id").alias("edge"), F.explode("backed_by").alias("element")), "frame_sigma": sigma, "frame_chain": frame_chain,
-    }
-    violations = rules.run(bound, tables, names)
+    """Violations and tallies of all rules of a model; ``position`` locates corners for rules that name no predicate."""
+    bound = written(rules.bound(model.types, model.nodes, model.assertions), "rules")
+    present = [r.check for r in bound.select("check").distinct().collect()]  # names of the registry
+    asked = [n for n in rules.CHECKS if n in present and (names is None or n in names)]
+    violations = written(rules.run(bound, check_tables(model, position, tolerance, bound), asked), "violations")
     return violations, rules.tallies(bound, violations)
 
 

@@ -190,13 +190,13 @@ class Model:
         families = {"node": self.nodes, "vertex": self.vertices, "edge": self.edges, "loop": self.loops, "frame": self.frames.withColumnRenamed("frame", "id"), "claim": self.claims.where("id is not null")}
         parts.append(fault(graph.duplicates({k: t.select("id") for k, t in families.items()}), "id", F.concat(F.lit("declared more than once: "), F.col("families"))))
         declared = self.predicates.select(F.col("name").alias("predicate"), "shape", F.col("unit").alias("declared_unit"), "claim_bearing")
-        claims = self.claims.join(F.broadcast(declared), "predicate", "left")
+        claims = self.claims.join(declared, "predicate", "left")
         parts.append(fault(claims.where("shape is null"), "subject", F.concat(F.lit("undeclared predicate "), F.col("predicate"))))
         parts.append(fault(claims.where("shape is not null and value.shape <> shape"), "subject", F.concat(F.col("predicate"), F.lit(" takes a "), F.col("shape"))))
         parts.append(fault(claims.where("rank = 'deprecated' and superseded_by is null"), "subject", F.concat(F.lit("deprecated without a replacement: "), F.col("predicate"))))
-        plain = self.plain_values.join(F.broadcast(declared), "predicate", "left")
+        plain = self.plain_values.join(declared, "predicate", "left")
         parts.append(fault(plain.where("claim_bearing is null or claim_bearing"), "subject", F.concat(F.lit("a bare value where a claim belongs: "), F.col("predicate"))))
-        types = F.broadcast(self.types.select(F.col("name").alias("type"), "kinds", "geometries"))
+        types = self.types.select(F.col("name").alias("type"), "kinds", "geometries")
         typed = self.nodes.join(types, "type", "left")
         parts.append(fault(typed.where("kinds is null"), "id", F.concat(F.lit("undeclared type "), F.col("type"))))
         parts.append(fault(typed.where("not array_contains(kinds, kind) or not array_contains(geometries, coalesce(geometry, 'absent'))"), "id", F.concat(F.lit("kind or geometry not permitted by "), F.col("type"))))
@@ -214,7 +214,7 @@ def read_files(spark: SparkSession, root: str, extension: str = "dfc") -> DataFr
     return found.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def load_model(spark: SparkSession, root: str, keep: bool = True) -> Model:
+def load_model(spark: SparkSession, root: str, keep: bool = True, extension: str = "dfc") -> Model:
     """The model of all ``.dfc`` files below a folder; with ``keep`` the parsed rows are cached, as every table reads them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +222,7 @@ def load_model(spark: SparkSession, root: str, keep: bool = True) -> Model:
             rows = [(table, json.dumps(row)) for path, text in zip(frame["path"], frame["text"], strict=True) for table, row in rows_of(path, text)]
             yield pd.DataFrame(rows, columns=["table", "row"])
 
-    forms = read_files(spark, root).mapInPandas(run, "table string, row string")
+    forms = read_files(spark, root, extension).mapInPandas(run, "table string, row string")
     if keep:
         forms = forms.persist()
     return Model({name: forms.where(F.col("table") == name).select(F.from_json("row", f"{schema}, {_WHERE}").alias("r")).select("r.*") for name, schema in SCHEMAS.items()})

@@ -32,7 +32,7 @@ def test_regions_in_another_frame(spark):
     figs = spark.createDataFrame([("a", "site", square), ("b", "root", square)], f"figure string, frame string, rings {regions.FIGURE}")
     turn = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
     steps = spark.createDataFrame([("site", "root", "m", "m", ([10.0, 20.0, 0.0], turn, 2.0))], "frame string, parent string, unit string, parent_unit string, transform struct<translation:array<double>,rotation:array<double>,scale:double>")
-    got = {r.figure: (r.frame, [[(p.x, p.y) for p in ring] for ring in r.rings]) for r in regions.carried(figs, steps, 2).collect()}
+    got = {r.figure: (r.frame, [[(p.x, p.y) for p in ring] for ring in r.rings]) for r in regions.carried(figs, steps).collect()}
     assert got["a"] == ("root", [[(10.0, 20.0), (10.0, 22.0), (8.0, 22.0), (8.0, 20.0)]]) and got["b"][1][0][2] == (1.0, 1.0)
     assert plane.area(got["a"][1][0]) == 4.0
 

@@ -97,7 +97,7 @@ def test_frames_there_and_back(spark):
     held = spark.createDataFrame([("t1", value([100.0, 200.0, 5.0], 1.0)), ("t2", value([10.0, 0.0, 0.0], 2.0))], "id string, value struct<transform:struct<translation:array<double>,rotation:array<double>,scale:double>>")
     steps = frames.resolved(fr, held)
     points = spark.createDataFrame([(1, "shed", 3.0, 4.0, 0.0), (2, "root", 1.0, 1.0, 1.0)], "id int, frame string, x double, y double, z double")
-    got = {r.id: r for r in frames.at_root(points, steps, 4).collect()}
+    got = {r.id: r for r in frames.at_root(points, steps).collect()}
     k = 0.3048
     sx, sy = 10 - 2 * 4 / k, 2 * 3 / k  # in the site's feet
     assert (got[1].x, got[1].y, got[1].z) == pytest.approx((100 - sy * k, 200 + sx * k, 5.0)) and got[1].root == "root"

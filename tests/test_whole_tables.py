@@ -26,9 +26,9 @@ def test_operators_read_every_row(spark, tmp_path):
             if part == other and a != b:
                 near[a, b].add(part)
     nested = [(o, sorted(x[1:3] for x in lines if x[0] == o)) for o, _, _ in orders]
-    assert rows(q.list_types_whole) == sorted(types.items())
-    assert rows(q.get_nested_whole) == [(o, len(own), ",".join(f"{n}/{p}" for n, p in own) if own else None) for o, own in nested]
-    assert rows(q.adjacent_whole) == sorted((a, b, ",".join(map(str, sorted(v)))) for (a, b), v in near.items())
-    assert rows(q.zones_whole) == sorted((k, ",".join(sorted(map(str, v)))) for k, v in zones.items())
-    assert rows(q.members_whole) == sorted((k, len(v), min(v)) for k, v in members.items())
-    assert len(rows(q.containment_closure_whole)) == 2 + 2 * 4 + 3 * 14
+    assert rows(q.list_types) == sorted(types.items())
+    assert rows(q.get_nested) == [(o, len(own), ",".join(f"{n}/{p}" for n, p in own) if own else None) for o, own in nested]
+    assert rows(q.adjacent) == sorted((a, b, ",".join(map(str, sorted(v)))) for (a, b), v in near.items())
+    assert rows(q.zones) == sorted((k, ",".join(sorted(map(str, v)))) for k, v in zones.items())
+    assert rows(q.members) == sorted((k, len(v), min(v)) for k, v in members.items())
+    assert len(rows(q.containment_closure)) == 2 + 2 * 4 + 3 * 14
