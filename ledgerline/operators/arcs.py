@@ -50,5 +50,5 @@ def tessellated(arcs: DataFrame, tolerance: float, most: int = 1 << 16) -> DataF
 def unread(edges: DataFrame, claims: DataFrame, predicates: DataFrame, read: list[str]) -> DataFrame:
     """(edge, predicates): bounding edges with a live coordinate claim under a predicate that nobody read."""
     shaped = predicates.where("shape = 'coordinate'").select(F.col("name").alias("predicate"))
-    held = claims.where("live").join(F.broadcast(shaped), "predicate").where(~F.col("predicate").isin(*read) if read else F.lit(True))
+    held = claims.where("live").join(shaped, "predicate").where(~F.col("predicate").isin(*read) if read else F.lit(True))
     return edges.select("edge").distinct().join(held.select(F.col("subject").alias("edge"), "predicate"), "edge").groupBy("edge").agg(F.sort_array(F.collect_set("predicate")).alias("predicates"))

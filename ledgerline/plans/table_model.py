@@ -297,3 +297,94 @@ def canonical_print(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = entity.read_files(spark, root, "txt").mapInPandas(run, "stable boolean, same boolean")
     return found.agg(F.min("stable").alias("stable"), F.min("same").alias("same"))
+
+
+# Authoring: the batch is built from the nations, which are as many as a person might write.
+
+
+def _authored(spark: SparkSession, sf_dir: str) -> list[tuple[str, dict]]:
+    """The rows of the files that a batch of every operation leaves, parsed from their printed text."""
+    from ledgerline.sources import author
+
+    claim = lambda value, unit, **more: {"value": value, "unit": unit, "source": "survey", "method": "m:gnss", "date": "2026-02-02", "accuracy": ["independent 0.1 m"], **more}
+    ops: list[dict] = [{"op": "add-node", "id": "site:p", "kind": "Site", "type": "Plot", "file": "n.dfc"}, {"op": "classify-type", "type": "House", "system": "IFC4", "code": "IfcBuilding"}]
+    keys = sorted(r.n_nationkey for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect())
+    for k in keys:
+        ops.append({"op": "add-node", "id": f"site:b-{k}", "kind": "Building", "type": "House", "label": f"B{k}", "file": "n.dfc"})
+        ops.append({"op": "relate", "id": f"site:b-{k}", "within": "site:p", "memberOf": [f"site:z-{k % 4}"]})
+        ops.append({"op": "add-claim", "subject": f"site:b-{k}", "predicate": "area", "claim": claim(f"{k}.5", "m2", id=f"fit:a-{k}")})
+        if k % 2:
+            ops.append({"op": "set-label", "id": f"site:b-{k}", "label": f"L{k}"})
+        if k % 3 == 0:
+            ops.append({"op": "supersede", "subject": f"site:b-{k}", "predicate": "area", "claim": claim(f"{k}.75", "m2", id=f"fit:s-{k}")})
+        if k % 3 == 1:
+            ops.append({"op": "add-claim", "subject": f"site:b-{k}", "predicate": "area", "claim": claim(f"{k}.25", "m2", id=f"fit:c-{k}")})
+            ops.append({"op": "deprecate-claim", "claim": f"fit:a-{k}", "supersededBy": f"fit:c-{k}"})
+        if k % 5 == 4:
+            ops.append({"op": "retire", "id": f"site:b-{k}", "reason": "rebuilt", "date": "2026-03-03"})
+        ops += [{"op": "add-vertex", "id": f"g:a{k}-{n}", "frame": "frame:g", "predicate": "position", "claim": claim(f"{k}.0 {n}.0", "m"), "file": "g.dfc"} for n in range(3)]
+        ops += [{"op": "add-edge", "id": f"g:b{k}-{n}", "frame": "frame:g", "start": f"g:a{k}-{n}", "end": f"g:a{k}-{(n + 1) % 3}", "file": "g.dfc"} for n in range(3)]
+        ops.append({"op": "add-loop", "id": f"g:c{k}", "frame": "frame:g", "edges": [f"g:b{k}-{n}" for n in range(3)], "file": "g.dfc"})
+        x = 1000 + 100 * k  # away from the corners above, to which it would snap
+        corners = [f"{x}.0 0.0", f"{x + 4}.0 0.0", f"{x + 4}.0 3.0", f"{x}.0 3.0", f"{x}.0 0.0"]
+        ops.append({"op": "scaffold-loop", "namespace": "g", "frame": "frame:g", "predicate": "position", "tolerance": "close", "corners": corners, "claim": {"source": "survey", "method": "m:gnss", "accuracy": ["independent 0.1 m"], "date": "2026-02-02"}, "file": "g.dfc"})
+    work = author.Workspace.of({"m.dfc": _HEADER}, "2026-02-02")
+    for op in author.read_batch(json.dumps({"operations": ops})):
+        work.apply(op)
+    return [row for path, text in sorted(work.texts().items()) for row in entity.rows_of(path, text)]
+
+
+@register("author_nodes", "SELECT 'site:b-' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 1 THEN 'L' ELSE 'B' END || n_nationkey AS label, 'site:p' AS within, 'site:z-' || (n_nationkey % 4) AS zone, n_nationkey % 5 = 4 AS retired FROM nation")
+def author_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(r["id"], r["label"], r["within"], r["member_of"][0], r["retired"] is not None) for t, r in _authored(spark, sf_dir) if t == "nodes" and r["id"].startswith("site:b-")]
+    return spark.createDataFrame(rows, "id string, label string, within string, zone string, retired boolean")
+
+
+@register("author_claims", """SELECT 'fit:a-' || n_nationkey AS id, n_nationkey + 0.5::DOUBLE AS value, CASE n_nationkey % 3 WHEN 0 THEN 'fit:s-' || n_nationkey WHEN 1 THEN 'fit:c-' || n_nationkey END AS superseded_by, CASE WHEN n_nationkey % 3 < 2 THEN 'deprecated' ELSE 'normal' END AS rank FROM nation
+UNION ALL SELECT 'fit:s-' || n_nationkey, n_nationkey + 0.75, NULL, 'normal' FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'fit:c-' || n_nationkey, n_nationkey + 0.25, NULL, 'normal' FROM nation WHERE n_nationkey % 3 = 1""")
+def author_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(r["id"], r["value"]["scalar"], r["superseded_by"], r["rank"]) for t, r in _authored(spark, sf_dir) if t == "claims" and r["predicate"] == "area"]
+    return spark.createDataFrame(rows, "id string, value double, superseded_by string, rank string")
+
+
+@register("author_topology", """SELECT 'vertices' AS family, 7 * count(*) AS n FROM nation UNION ALL SELECT 'edges', 7 * count(*) FROM nation UNION ALL SELECT 'loops', 2 * count(*) FROM nation UNION ALL SELECT 'loop_edges', 7 * count(*) FROM nation""")
+def author_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _authored(spark, sf_dir)
+    rows = [(family, sum(t == family for t, _ in found)) for family in ("vertices", "edges", "loops")]
+    rows.append(("loop_edges", sum(len(r["edges"]) for t, r in found if t == "loops")))
+    return spark.createDataFrame(rows, "family string, n long")
+
+
+@register("author_classification", "SELECT 'House' AS name, 'IFC4' AS system, 'IfcBuilding' AS code")
+def author_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(r["name"], c["system"], c["code"]) for t, r in _authored(spark, sf_dir) if t == "types" for c in r["classifications"]]
+    return spark.createDataFrame(rows, "name string, system string, code string")
+
+
+@register("model_siting", f"""WITH {_S}, c AS (SELECT s, CASE WHEN s % 5 = 2 THEN -0.5 ELSE least(0.5, 0.25, w - 1.5, h - 0.75) END AS clearance FROM s WHERE closed)
+SELECT 'site:d-' || s AS footprint, round(clearance, 6)::DOUBLE AS clearance, CASE WHEN clearance > 0.24 THEN 'might-fit' WHEN clearance > 0.2 THEN 'fits' ELSE 'does-not-fit' END AS verdict FROM c""")
+def model_siting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every desk in its room, against a margin of 0.24: the uncertainty of both sides' corners decides the rest."""
+    from ledgerline.operators import regions
+
+    model = model_of(spark, sf_dir)
+    figs = written(q.figures(model, "position", 1e-3), "figures")
+    key = F.regexp_extract("figure", "^site:.-(.*)$", 1)
+    desks = figs.where("figure like 'site:d-%'").select("figure", F.concat(F.lit("site:s-"), key).alias("plot"), "rings", F.col("corner_sigma").alias("sigma"))
+    rooms = figs.where("figure like 'site:s-%' and rings is not null").select("figure", "rings", F.col("corner_sigma").alias("sigma"))
+    return regions.siting(desks, rooms, 1e-3, 0.24).select("footprint", F.round("clearance", 6).alias("clearance"), "verdict")
+
+
+@register("arc_chords", """WITH a AS (SELECT p_partkey AS id, (p_size + 1)::DOUBLE AS r, (p_partkey % 7 + 1) * pi() / 9 AS s FROM part), w AS (SELECT id, r, CASE WHEN id % 2 = 0 THEN s ELSE 2 * pi() - s END AS sweep FROM a)
+SELECT id, ceil(round(sweep / (2 * acos(1 - 0.01 / r)), 9))::INT AS n FROM w""")
+def arc_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords that stay within 0.01 of each arc, and no more than it takes."""
+    from ledgerline.operators import arcs
+
+    size, a, s = (F.col("p_size") + 1).cast("double"), F.radians((F.col("p_partkey") % 360).cast("double")), F.radians((F.col("p_partkey") % 7 + 1) * 20.0)
+    middle = F.when(F.col("p_partkey") % 2 == 0, a + s / 2).otherwise(a + s / 2 + F.pi())
+    at = {"1": a, "2": a + s, "t": middle}
+    columns = [c.alias(n) for k in "12" for n, c in ((f"x{k}", F.cos(at[k]) * size), (f"y{k}", F.sin(at[k]) * size))]
+    columns += [(F.cos(middle) * size).alias("tx"), (F.sin(middle) * size).alias("ty"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy")]
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), *columns)
+    return arcs.tessellated(rows, 0.01).select("id", F.col("n_chords").alias("n"))
