@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import textvec
-from ledgerline.llm.common import dropped, row_keys, unused, written
+from ledgerline.llm.common import row_keys, unused, written
+from ledgerline.operators.components import components
 
 _U = np.uint64
 
@@ -200,34 +201,6 @@ def _columns(column: pa.Array, k: int) -> list[np.ndarray]:
     return [values[first[i] : first[i + 1]] for _, values, first in shingle_sets(column, k) for i in range(len(first) - 1)]
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """Rows (id, component) of all ends of ``edges`` (a, b), of any ordered type: the smallest that each reaches.
-
-    Alternating large-star and small-star steps (Kiveris and others 2014); every step ends in a written
-    table, and only its size and 128 bits of digests, which say whether it changed, reach the driver.
-    """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
-    for _ in range(rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        last, now = now, written(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
-        if before is not None:
-            dropped(last)
-        after = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first())
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    ends = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(ends)
-
-
 def _close(a: Column, b: Column, s: Settings) -> Column:
     """Whether two sketches leave the pair possible: population count of their XOR, eight bytes at a time."""
     parts = [F.bit_count(F.conv(F.substring(F.hex(a), 15 * k + 1, 15), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(F.hex(b), 15 * k + 1, 15), 16, 10).cast("long"))) for k in range(-(-s.sketch // 60))]

@@ -12,7 +12,9 @@ with the least room that still takes them. Several shares and group counts are t
 fewest sequences is kept.
 
 Defined results: a null text is empty and holds the end token alone; repeated rows are pieces of their own;
-null ids stay null; an empty table gives no pieces; other columns are ignored.
+null ids stay null; an empty table gives no pieces; a very long text is tokenized whole and cut into full
+sequences and one rest; pieces of equal length are ranked by a hash of id and piece, so ties change nothing but who
+goes where; other columns are ignored.
 """
 
 from __future__ import annotations

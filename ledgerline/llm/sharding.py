@@ -1,7 +1,8 @@
 """Sharding by jump consistent hashing of a stable key: no ring table, and a new last shard takes rows only into itself.
 
 Defined results: a null key hashes as a key of its own kind; a null text has size 1 and the checksum of
-the empty text; repeated rows land in the same shard and get slots of their own; other columns are ignored.
+the empty text; repeated rows land in the same shard and get slots of their own; rows that tie in the order of a
+shard take its next slots in any order; a very long text counts with its whole size; other columns are ignored.
 """
 
 from __future__ import annotations
