@@ -365,5 +365,6 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
     rows = written(pieces(docs, path or vocabulary(), capacity, keep=keep, release=release), "pieces")
     histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = best_plan(histogram, capacity)
-    order = ranked(rows, "length", ["doc_id", "piece", "ids_crc32", "start"], "rank")
+    buckets = max(256, max(histogram.values(), default=0) // 100_000)  # full pieces are one length and may be most of all
+    order = ranked(rows, "length", ["doc_id", "piece", "ids_crc32", "start"], "rank", buckets)
     return placed(order, plan).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
