@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import textvec
-from ledgerline.llm.common import unused
+from ledgerline.llm.common import trimmed, unused
 from ledgerline.llm.fmindex import FMIndex, expanded
 
 WINDOW = 8
@@ -172,7 +172,7 @@ def scan(
                 found = _added(shared.value, batch, at, later, names)
                 yield last[0](found) if last else found
 
-        out = out.mapInArrow(run, last[1] if last else T.StructType([*docs.schema.fields, *added]))
+        out = out.mapInArrow(trimmed(run), last[1] if last else T.StructType([*docs.schema.fields, *added]))
     return out
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import textvec
-from ledgerline.llm.common import row_keys, unused, written
+from ledgerline.llm.common import row_keys, trimmed, unused, written
 from ledgerline.operators.components import components
 
 _U = np.uint64
@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, s: Settings = DEFAULT, id_col: str = "doc_id", t
 
     names = ["id", "key", "key2", "n_shingles", "set_a", "set_b", "bands", "sketch"]
     rows = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, key2 long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
+    return rows.mapInArrow(trimmed(run), f"id {rows.schema['id'].dataType.simpleString()}, key long, key2 long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
 def _pairs_schema(node: T.DataType) -> T.StructType:
@@ -194,7 +194,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                     good[k] = _similar(x, y, s)
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, _pairs_schema(pairs.schema["a"].dataType))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), _pairs_schema(pairs.schema["a"].dataType))
 
 
 def _columns(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -281,7 +281,7 @@ def _compared(members: DataFrame, s: Settings) -> DataFrame:
                     kinds[kinds == kinds[j]] = kinds[i]
         return out
 
-    return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, _pairs_schema(members.schema["id"].dataType))
+    return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(trimmed(run), _pairs_schema(members.schema["id"].dataType))
 
 
 def _similar(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import written
+from ledgerline.llm.common import trimmed, written
 
 CAPACITY, END = 4096, 1
 #: Words that a worker keeps with their ids, in each of two generations; about 200 bytes each.
@@ -140,6 +140,11 @@ def coder(path: str, keep: int) -> Coder:
     return _CODERS[path]
 
 
+def forget(path: str) -> None:
+    """Give up the worker's coder; a function of the module, as a pickled closure has its own copy of globals."""
+    _CODERS.pop(path, None)
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -149,7 +154,7 @@ def vocabulary() -> str:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 1024, with_ids: bool = False, keep: int = KEEP, release: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document's token ids and the end token.
 
-    With ``release`` a worker gives up its older words at the end of a task, as it may live on for other work.
+    With ``release`` a worker gives up the coder and its words at the end of a task, as it may live on for other work.
     """
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -173,11 +178,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = 10
                 arrays = [ids, *(pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True))][: len(names)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
         if release:
-            code.old = {}
-            if len(code.new) > keep:
-                code.new = {}
+            del code
+            forget(path)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run) if release else run, schema)
 
 
 # The plan, made of runs.

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerline.llm.common import trimmed
+
 KINDS = ("email", "ip", "card", "phone")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -309,4 +311,4 @@ def redacted(docs: DataFrame, text_col: str = "text", size_col: str | None = Non
                 arrays = [pa.array(new[n], batch.schema.field(n).type) if n in new else c for n, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm import textvec
-from ledgerline.llm.common import unused
+from ledgerline.llm.common import trimmed, unused
 
 FOLDS, THRESHOLD = 5, 0.3
 
@@ -114,7 +114,7 @@ class Classifier:
         out = np.zeros((len(bounds) - 1, len(self.dictionaries)))
         step = self.settings.chunk
         compressors = self._compressors()
-        for a, b in textvec.slices(bounds, limit=8 << 20, docs=1 << 20):
+        for a, b in textvec.slices(bounds):
             part = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
             for v, (raw, edges) in enumerate(_views(*part)):
                 bad, good = compressors[v]
@@ -199,7 +199,7 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) ->
 
     kinds = dict(found.dtypes)
     found = found.select("doc_id", "label", "fold", "text")
-    rows = found.mapInArrow(pieces, f"doc_id {kinds['doc_id']}, label {kinds['label']}, fold int, view int, pieces array<binary>").collect()
+    rows = found.mapInArrow(trimmed(pieces), f"doc_id {kinds['doc_id']}, label {kinds['label']}, fold int, view int, pieces array<binary>").collect()
     rows.sort(key=lambda r: (r.view, r.label, str(r.doc_id)))
     good = [r.label for r in rows if r.view == 0]
     made = Classifier([], s, sum(good) / len(good) if good else 0.5)
@@ -218,7 +218,7 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) ->
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(v) for v in values.T)], ["doc_id", "label", *columns])
 
     columns = [f"view{k}" for k in range(VIEWS)]
-    measured = found.mapInArrow(figures, f"doc_id {kinds['doc_id']}, label {kinds['label']}, " + ", ".join(f"{c} double" for c in columns)).collect()
+    measured = found.mapInArrow(trimmed(figures), f"doc_id {kinds['doc_id']}, label {kinds['label']}, " + ", ".join(f"{c} double" for c in columns)).collect()
     measured.sort(key=lambda r: (r.label, str(r.doc_id)))
     made.dictionaries = final
     made.calibrate(np.array([[r[c] for c in columns] for r in measured]), np.array([r.label for r in measured]))
@@ -235,7 +235,7 @@ def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text", out:
             found = pa.array(shared.value.scores(*textvec.flat(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +105,16 @@ def test_documents_are_packed_whole(spark, whole):
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 4096
     assert len(held) <= -(-sum(x.length for x in found) // 4096) + 1
     assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_released_workers_hold_no_coder(spark):
+    """A worker that lives on after packing has given up the tokenizer and its words."""
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._CODERS)])], ["n"])
+
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string").repartition(8)
+    spark.range(8).repartition(8).mapInArrow(lambda batches: batches, "id long").count()
+    assert packing.pieces(docs, packing.vocabulary(), release=True).count() == 40
+    assert {r.n for r in spark.range(32).repartition(8).mapInArrow(held, "n long").collect()} == {0}

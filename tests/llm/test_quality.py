@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -116,3 +117,20 @@ def test_stretches_reach_both_ends():
     s = quality.Settings(piece=4, pieces=3)
     data, bounds = textvec.flat(pa.array(["abcdefghijklmnop", "abc", "", "abcde"]))
     assert quality.stretches(data, bounds, s) == [[b"abcd", b"ghij", b"mnop"], [b"abc"], [], [b"abcd", b"bcde"]]
+
+
+def test_scoring_holds_a_slice_of_a_batch():
+    """The views of a large batch are made slice by slice, so their memory does not grow with it."""
+    r = random.Random(2)
+    column = pa.array([" ".join(prose(r, k % 2) for _ in range(20)) for k in range(40)] * 25)
+    data, bounds = textvec.flat(column)
+    assert len(data) > 6 << 20
+    words = [prose(r, k % 2).encode() for k in range(400)]
+    made = quality.Classifier([(b" ".join(words[::2]), b" ".join(words[1::2]))] * quality.VIEWS, quality.Settings(chunk=1 << 20), 0.5)
+    tracemalloc.start()
+    whole = made.figures(data, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    few = column.slice(0, 40)
+    assert np.array_equal(whole, np.tile(made.figures(*textvec.flat(few)), (25, 1)))
