@@ -135,3 +135,25 @@ def test_self_similar_texts_match_brute_force(spark, k):
     got = found(substring.deduplicated(frame(spark, rows)))
     assert got == [(i, n, c, d) for i, n, c, _, d in brute(rows, 35, True)] and got[0][2] == 40
     assert found(parsing.deduplicated(frame(spark, rows))) == brute(rows, 400, False)
+
+
+def test_hot_anchors_exchange_no_text_again(spark):
+    """The texts are exchanged as often with hot anchors as without; only the segments of hot anchors are more."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    passage = noise(60)
+    rows = [(k, noise(20_000) + passage + noise(50)) for k in range(100)]
+    # Read by path, as a table is: a table made of Python rows is another plan each time.
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/texts-of-hot-anchors"
+    frame(spark, rows).write.mode("overwrite").parquet(path)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved(hot):
+        before = store.executorList(False).apply(0).totalShuffleWrite()
+        out = found(repeats.digests(spark.read.parquet(path), replace(parsing.method(40, 16), hot=hot)))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return out, store.executorList(False).apply(0).totalShuffleWrite() - before
+
+    (cold, least), (hot, most) = moved(2000), moved(2)
+    assert hot == cold and sum(x[2] for x in hot) >= 60 * 100
+    assert most < least + 1_000_000, (least, most)
