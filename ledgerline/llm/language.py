@@ -38,6 +38,9 @@ from ledgerline.llm.common import written
 
 FOLDS, HELD = 7, 2
 TAILS = 54
+#: 1 to 26 for the bytes a to z.
+LETTER = np.zeros(256, np.int64)
+LETTER[97:123] = np.arange(1, 27)
 
 
 @dataclass(frozen=True)
@@ -76,12 +79,10 @@ def tails(words: textvec.Words) -> np.ndarray:
     """The tail class of each word: its last letter (or that before a mark), and whether it leaves ASCII."""
     if not len(words.starts):
         return np.zeros(0, np.int64)
-    last = words.data[words.ends - 1]
-    before = words.data[np.maximum(words.ends - 2, words.starts)]
-    letter = np.where((last >= 97) & (last < 123), last, before).astype(np.int64) - 96
-    letter = np.where((letter >= 1) & (letter <= 26), letter, 0)
-    wide = np.concatenate([[0], np.cumsum(words.data >= 128)])
-    return letter + 27 * (wide[words.ends] > wide[words.starts])
+    last, before = (LETTER[words.data[at]] for at in (words.ends - 1, np.maximum(words.ends - 2, words.starts)))
+    wide = np.zeros(len(last), bool)
+    wide[np.searchsorted(words.starts, np.flatnonzero(words.data >= 128), "right") - 1] = True
+    return np.where(last > 0, last, before) + 27 * wide
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -105,10 +106,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [(h, t) for _, h, t, _ in tokens(batch.column(0))]
+            held = [_summed(h, t, np.ones(len(h), np.int64)) for _, h, t, _ in tokens(batch.column(0))]
             if held:
-                h, t = (np.concatenate(x) for x in zip(*held, strict=True))
-                h, t, c = _summed(h, t, np.ones(len(h), np.int64))
+                h, t, c = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.astype(np.int32)), pa.array(c)], ["h", "tail", "c"])
 
     return texts.mapInArrow(run, "h long, tail int, c long").groupBy("h").agg(F.max("tail").alias("tail"), F.sum("c").alias("c"))
@@ -178,114 +178,176 @@ class Network:
         top = symbols < self.s.top
         return np.where(top, symbols // self.s.per_class, symbols - self.s.top + self.s.classes), np.where(top, symbols % self.s.per_class, -1)
 
-    def run(self, symbols: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
-        """States before each token of a (time, lane) window; ``fresh`` marks first tokens of documents."""
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input and state weights as three tables of their own, those of the gates negated, as their exponentials ask."""
         h = self.s.hidden
-        x_all, ended = self.x[symbols], (~fresh).astype(np.float32)[:, :, None]
-        before, caches = np.empty((*symbols.shape, h), np.float32), []
-        if keep:
-            caches = [np.empty((*symbols.shape, n), np.float32) for n in (2 * h, h, h)]
-        for t in range(len(symbols)):
-            state = np.multiply(state, ended[t], out=before[t])
-            x, u = x_all[t], state @ self.u
-            gates = np.add(x[:, : 2 * h], u[:, : 2 * h], out=caches[0][t] if keep else None)
-            np.negative(gates, out=gates)
+        x, u = (np.ascontiguousarray(w.reshape(-1, 3, h).swapaxes(0, 1)) for w in (self.x, self.u))
+        for part in (x, u):
+            np.negative(part[:2], out=part[:2])
+        return x, u
+
+    def run(self, symbols: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
+        """States before each token of a (time, lane) window; ``fresh`` marks first tokens of documents.
+
+        The two gates and the new state are tables of their own, so each step works on contiguous memory. With
+        ``keep`` these (part, time, lane, hidden) and the products of states and weights are returned too.
+        """
+        h, (steps, n) = self.s.hidden, symbols.shape
+        x, weights = self._gates()
+        parts = np.take(x, symbols, axis=1)
+        products = np.empty((3, steps if keep else 1, n, h), np.float32)
+        states, part = np.empty((steps + 1, n, h), np.float32), np.empty((n, h), np.float32)
+        states[0] = state
+        for t, begun in enumerate(_places(fresh)):
+            before, after, u = states[t], states[t + 1], products[:, t if keep else 0]
+            if len(begun):
+                before[begun] = 0
+            np.matmul(before, weights, out=u)
+            gates, new = parts[:2, t], parts[2, t]
+            gates += u[:2]
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            z, r = gates[:, :h], gates[:, h:]
-            new = np.multiply(r, u[:, 2 * h :], out=caches[1][t] if keep else None)
-            new += x[:, 2 * h :]
+            new += np.multiply(gates[1], u[2], out=part)
             np.tanh(new, out=new)
-            if keep:
-                caches[2][t] = u[:, 2 * h :]
-            state = state - new
-            state *= z
-            state += new
-        return before, state, caches
+            np.subtract(before, new, out=after)
+            after *= gates[0]
+            after += new
+        return states[:-1], states[-1], (parts, products)
 
     @staticmethod
     def _small(weights: np.ndarray, biases: np.ndarray) -> bool:
         """Whether no state, which lies between -1 and 1, can give an output whose exponential leaves the range of a float."""
         return bool((np.abs(weights).sum(-2) + np.abs(biases)).max() < 60)
 
-    def log_probabilities(self, before: np.ndarray, symbols: np.ndarray, grads: Network | None = None, weight: np.ndarray | None = None):
-        """Natural log-probability of class and word-in-class of each token; with ``grads``, also the gradient of the states."""
+    def log_probabilities(self, before: np.ndarray, symbols: np.ndarray, grads: Network | None = None, weight: np.ndarray | None = None, order: np.ndarray | None = None):
+        """Natural log-probability of class and word-in-class of each token; with ``grads``, also the gradient of the states.
+
+        Tokens are taken in the ``order`` of their symbols, so those of a class lie together. The biases are the weights
+        of a state that is always 1.
+        """
+        s, h, n = self.s, self.s.hidden, len(symbols)
+        order = np.argsort(symbols, kind="stable") if order is None else order
+        symbols = symbols.take(order)
         kind, place = self.outputs(symbols)
-        logits = before @ self.wc
-        logits += self.bc
-        if not self._small(self.wc, self.bc):
-            logits -= logits.max(1, keepdims=True)
-        who = np.arange(len(symbols))
-        own = logits[who, kind]
-        np.exp(logits, out=logits)
-        total = logits @ np.ones(logits.shape[1], np.float32)
-        out = own - np.log(total)
-        back = None
+        states = np.empty((n, h + 1), np.float32)
+        states[:, :h], states[:, h] = before.take(order, 0), 1
+        edges = np.searchsorted(symbols, np.minimum(np.arange(s.classes + 1) * s.per_class, s.top)).tolist()
+        ranges = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        top = edges[-1]
+
+        def softmax(out: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+            """Log-probability of one output of each row; with ``grads``, its loss's gradient is left in ``out``."""
+            if not small:
+                out -= out.max(1, keepdims=True)
+            at = at + np.arange(0, out.size, out.shape[1])
+            own = out.ravel()[at]
+            np.exp(out, out=out)
+            total = out @ np.ones(out.shape[1], np.float32)
+            if grads is not None:
+                out.ravel()[at] -= total
+                out *= (weight[: len(out)] / total)[:, None]
+            return own - np.log(total)
+
+        weight = None if weight is None else weight.take(order)
+        logits = states @ np.vstack([self.wc, self.bc])
+        logp = softmax(logits, kind, self._small(self.wc, self.bc))
         if grads is not None:
-            logits *= (weight / total)[:, None]
-            logits[who, kind] -= weight
-            grads.wc += before.T @ logits
-            grads.bc += logits.sum(0)
+            found = logits.T @ states
+            grads.wc += found[:, :h].T
+            grads.bc += found[:, h]
             back = logits @ self.wc.T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.s.classes + 1))
-        order = order[: edges[-1]]
-        if not len(order):
-            return out, back
-        states, row, mine = before[order], np.arange(len(order)), place[order]
-        ranges = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
-        inner = np.empty((len(order), self.s.per_class), np.float32)
-        for c, at in ranges:
-            np.matmul(states[at], self.ww[c], out=inner[at])
-            inner[at] += self.bw[c]
-        if not self._small(self.ww, self.bw):
-            inner -= inner.max(1, keepdims=True)
-        chosen = inner[row, mine]
-        np.exp(inner, out=inner)
-        total = inner @ np.ones(inner.shape[1], np.float32)
-        out[order] += chosen - np.log(total)
-        if grads is not None:
-            inner *= (weight[order] / total)[:, None]
-            inner[row, mine] -= weight[order]
-            into = np.empty_like(states)
+        if top:
+            inner, words = np.empty((top, s.per_class), np.float32), np.concatenate([self.ww, self.bw[:, None]], 1)
             for c, at in ranges:
-                grads.ww[c] += states[at].T @ inner[at]
-                np.matmul(inner[at], self.ww[c].T, out=into[at])
-            grads.bw[[c for c, _ in ranges]] += np.add.reduceat(inner, [at.start for _, at in ranges])
-            back[order] += into
-        return out, back
-
-    def gradients(self, symbols: np.ndarray, fresh: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[Network, np.ndarray, float]:
-        """Gradient of the mean loss of a window, by backpropagation truncated at its start."""
-        s, h = self.s, self.s.hidden
-        before, after, caches = self.run(symbols, fresh, state, keep=True)
-        grads = Network(s)
-        weight = (live / max(1, live.sum())).astype(np.float32).ravel()
-        logp, back = self.log_probabilities(before.reshape(-1, h), symbols.ravel(), grads, weight)
+                np.matmul(states[at], words[c], out=inner[at])
+            logp[:top] += softmax(inner, place[:top], self._small(self.ww, self.bw))
+            if grads is not None:
+                into = np.empty((top, h), np.float32)
+                for c, at in ranges:
+                    found = inner[at].T @ states[at]
+                    grads.ww[c] += found[:, :h].T
+                    grads.bw[c] += found[:, h]
+                    np.matmul(inner[at], self.ww[c].T, out=into[at])
+                back[:top] += into
+        place = np.empty_like(order)
+        place[order] = np.arange(n)
+        return logp.take(place), None if grads is None else back.take(place, 0)
+
+    def add_gradients(self, grads: Network, symbols: np.ndarray, fresh: np.ndarray, weight: np.ndarray, state: np.ndarray, n: int = 1) -> tuple[np.ndarray, float]:
+        """Adds the gradient of the weighted loss of a run of ``n`` windows, by backpropagation truncated at the start of each; the last state and the loss.
+
+        The state passes through the windows in turn; then they are independent, and go back beside each other as lanes.
+        """
+        h = self.s.hidden
+        before, after, (parts, products) = self.run(symbols, fresh, state, keep=True)
+        if n > 1:
+            symbols, fresh, weight, before = (_beside(a[None], n)[0] for a in (symbols, fresh, weight, before))
+            parts, products = _beside(parts, n), _beside(products, n)
+        steps, weight, flat = len(symbols), weight.astype(np.float32).ravel(), symbols.ravel()
+        order = np.argsort(flat, kind="stable")
+        logp, back = self.log_probabilities(before.reshape(-1, h), flat, grads, weight, order)
         back = back.reshape(before.shape)
-        (gates, new, u), ended = caches, (~fresh).astype(np.float32)[:, :, None]
-        z, r = gates[:, :, :h], gates[:, :, h:]
-        # What a state's gradient is multiplied by on its way to the three parts of a step.
-        to_new = (1 - z) * (1 - new * new)
-        outer = np.stack([(before - new) * z * (1 - z), to_new * u * r * (1 - r), to_new], 2)
-        dh, all_dh = np.zeros_like(state), np.empty_like(before)
-        inner = outer.copy()
-        inner[:, :, 2] *= r
-        for t in range(len(symbols) - 1, -1, -1):
-            all_dh[t] = dh
-            inner[t] *= dh[:, None]
-            dh = dh * z[t]
-            dh += inner[t].reshape(-1, 3 * h) @ self.u.T
+        z, r, new = parts
+        # What a state's gradient is multiplied by on its way to the three parts of a step; ``inner`` is the third behind its gate.
+        outer, inner = products, np.empty_like(before)
+        np.subtract(before, new, out=outer[0])
+        outer[0] *= z
+        left = 1 - z
+        outer[0] *= left
+        new *= new
+        np.subtract(1, new, out=new)
+        new *= left
+        np.subtract(1, r, out=left)
+        outer[1] = outer[2]
+        outer[1] *= r
+        outer[1] *= left
+        outer[1] *= new
+        outer[2] = new
+        weights = np.ascontiguousarray(self.u.reshape(h, 3, h).transpose(1, 2, 0))
+        dh, through = np.zeros_like(before[0]), np.empty_like(outer[:, 0])
+        places = _places(fresh)
+        for t in range(steps - 1, -1, -1):
+            now = outer[:, t]
+            now *= dh
+            np.multiply(now[2], r[t], out=inner[t])
+            np.matmul(now[:2], weights[:2], out=through[:2])
+            np.matmul(inner[t], weights[2], out=through[2])
+            dh *= z[t]
             dh += back[t]
-            dh *= ended[t]
-        outer *= all_dh[:, :, None]
-        grads.u += before.reshape(-1, h).T @ inner.reshape(-1, 3 * h)
-        order = np.argsort(symbols.ravel(), kind="stable")
-        own = symbols.ravel()[order]
+            for part in through:
+                dh += part
+            if len(places[t]):
+                dh[places[t]] = 0
+        states = before.reshape(-1, h).T
+        for k, part in enumerate((outer[0], outer[1], inner)):
+            grads.u[:, k * h : (k + 1) * h] += states @ part.reshape(-1, h)
+        own = flat[order]
         begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        grads.x[own[begin]] += np.add.reduceat(outer.reshape(-1, 3 * h)[order], begin)
-        return grads, after, float(-(logp * weight).sum())
+        rows = np.take(outer.reshape(3, -1, h), order, axis=1)
+        if h % 2 == 0:
+            rows = rows.view(np.complex64)  # two sums at once: the time goes by runs of symbols, not by their length
+        sums = np.add.reduceat(rows, begin, axis=1).view(np.float32)
+        grads.x.reshape(-1, 3, h)[own[begin]] += sums.swapaxes(0, 1)
+        return after, float(-(logp * weight).sum())
+
+    def gradients(self, symbols: np.ndarray, fresh: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[Network, np.ndarray, float]:
+        """Gradient of the mean loss of a window, the last state and the loss."""
+        grads = Network(self.s)
+        return grads, *self.add_gradients(grads, symbols, fresh, live / max(1, live.sum()), state)
+
+
+def _places(fresh: np.ndarray) -> list[np.ndarray]:
+    """The lanes that are marked at each time."""
+    time, lane = np.nonzero(fresh)
+    edges = np.searchsorted(time, np.arange(len(fresh) + 1)).tolist()
+    return [lane[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _beside(table: np.ndarray, n: int) -> np.ndarray:
+    """``n`` windows that follow each other along axis 1, laid beside each other along axis 2."""
+    parts, steps, lanes, *rest = table.shape
+    return table.reshape(parts, n, steps // n, lanes, *rest).swapaxes(1, 2).reshape(parts, steps // n, n * lanes, *rest)
 
 
 def lanes(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -325,10 +387,24 @@ class Stream:
         self.fresh = np.zeros(shape, bool)
         self.fresh[place, lane] = True
 
-    def windows(self, size: int) -> Iterator[tuple[slice, slice]]:
-        """Times and lanes of every window."""
-        for t in range(0, len(self.symbols), size):
-            yield slice(t, t + size), slice(0, int(np.searchsorted(self.begin, t + size, "left")))
+    def windows(self, size: int, least: float = 0) -> Iterator[tuple[slice, slice, int, int]]:
+        """Times, lanes, number and live cells of runs of windows.
+
+        Without ``least`` every window is a run. With it, windows follow in one until they have that many live cells, with the
+        runs before that had too few; a run ends, too, where the lanes more than double.
+        """
+        steps = len(self.symbols)
+        live = np.add.reduceat(self.live.sum(1), np.arange(0, steps, size)).tolist()
+        begin = held = cells = 0
+        for k, count in enumerate(live):
+            to, held, cells = (k + 1) * size, held + count, cells + count
+            if cells < least and to + size <= steps and self._begun(to + size) <= 2 * self._begun(begin + size):
+                continue
+            yield slice(begin, to), slice(0, self._begun(to)), (to - begin) // size, held
+            begin, held, cells = to, 0, 0 if cells >= least else cells
+
+    def _begun(self, t: int) -> int:
+        return int(np.searchsorted(self.begin, t, "left"))
 
 
 class Adam:
@@ -338,13 +414,22 @@ class Adam:
         self.mean, self.square, self.step = np.zeros_like(net.values), np.zeros_like(net.values), 0
 
     def move(self, net: Network, g: np.ndarray, rate: float) -> None:
-        norm = float(np.sqrt((g * g).sum()))
+        norm = float(np.sqrt(g @ g))
         if norm > 1:
             g = g / norm
         self.step += 1
-        self.mean += 0.1 * (g - self.mean)
-        self.square += 0.01 * (g * g - self.square)
-        net.values -= rate * min(1, self.step / 20) * (self.mean / (1 - 0.9**self.step)) / (np.sqrt(self.square / (1 - 0.99**self.step)) + 1e-6)
+        self.mean *= 0.9
+        self.mean += 0.1 * g
+        self.square *= 0.99
+        square = g * g
+        square *= 0.01
+        self.square += square
+        by = np.sqrt(self.square, out=square)
+        by *= (1 - 0.99**self.step) ** -0.5
+        by += 1e-6
+        np.divide(self.mean, by, out=by)
+        by *= rate * min(1, self.step / 20) / (1 - 0.9**self.step)
+        net.values -= by
 
 
 def train_replica(net: Network, symbols: np.ndarray, first: np.ndarray, done: float = 0.0, adam: Adam | None = None) -> tuple[Network, int]:
@@ -358,17 +443,16 @@ def train_replica(net: Network, symbols: np.ndarray, first: np.ndarray, done: fl
     stream = Stream(symbols, first, s.train_lanes, s.symbols - 1)
     rate, least = s.rate * (1 - 0.7 * done), s.window * s.train_lanes / 4
     state = np.zeros((stream.symbols.shape[1], s.hidden), np.float32)
-    total, cells, learned = np.zeros_like(net.values), 0, 0
-    for part in stream.windows(s.window):
-        live = int(stream.live[part].sum())
-        grads, state[part[1]], _ = net.gradients(stream.symbols[part], stream.fresh[part], stream.live[part], state[part[1]])
-        total += grads.values * live
+    grads, cells, learned = Network(s), 0, 0
+    for *part, n, live in stream.windows(s.window, least):
+        part = tuple(part)
+        state[part[1]], _ = net.add_gradients(grads, stream.symbols[part], stream.fresh[part], stream.live[part], state[part[1]], n)
         cells, learned = cells + live, learned + live
         if cells >= least:
-            adam.move(net, total / cells, rate)
-            total[:], cells = 0, 0
+            adam.move(net, grads.values / cells, rate)
+            grads.values[:], cells = 0, 0
     if cells:
-        adam.move(net, total / cells, rate * cells / least)
+        adam.move(net, grads.values / cells, rate * cells / least)
     return net, learned
 
 
@@ -378,10 +462,12 @@ def score_stream(net: Network, symbols: np.ndarray, first: np.ndarray) -> np.nda
     stream = Stream(symbols, first, s.score_lanes, s.symbols - 1)
     logp = np.zeros(stream.symbols.shape, np.float32)
     state = np.zeros((stream.symbols.shape[1], s.hidden), np.float32)
-    for part in stream.windows(s.window):
+    for *part, _, _ in stream.windows(s.window, s.window * s.score_lanes / 2):
+        part = tuple(part)
         before, state[part[1]], _ = net.run(stream.symbols[part], stream.fresh[part], state[part[1]])
-        live = stream.live[part]
-        logp[part][live] = net.log_probabilities(before[live], stream.symbols[part][live])[0]
+        live = np.flatnonzero(stream.live[part])
+        found, _ = net.log_probabilities(before.reshape(-1, s.hidden).take(live, 0), stream.symbols[part].ravel().take(live))
+        logp[part][stream.live[part]] = found
     return np.add.reduceat(logp[stream.time, stream.lane].astype(np.float64), first[:-1])
 
 

@@ -176,3 +176,41 @@ def test_self_similar_words_are_known_apart(spark):
     rows = [(k, f"{x} stone") for k in ids[0]] + [(ids[1], f"{y} stone")]
     got = {r.doc_id: r for r in language.scores(spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()}
     assert got[ids[1]].n_known == 2 and got[ids[0][0]].n_known == 3
+
+
+def test_a_run_of_windows_learns_as_its_windows_do():
+    s = language.Settings(top=32, classes=4, hidden=8, window=6)
+    net, g = language.Network.initial(s, vocabulary(s)), np.random.default_rng(9)
+    symbols, fresh, live = g.integers(0, s.symbols, (24, 5)).astype(np.int16), g.random((24, 5)) < 0.1, g.random((24, 5)) < 0.9
+    state = begin = g.uniform(-1, 1, (5, 8)).astype(np.float32)
+    want = np.zeros_like(net.values)
+    for t in range(0, 24, 6):
+        at = slice(t, t + 6)
+        grads, state, _ = net.gradients(symbols[at], fresh[at], live[at], state)
+        want += grads.values * live[at].sum()
+    grads = language.Network(s)
+    last, _ = net.add_gradients(grads, symbols, fresh, live, begin, 4)
+    assert np.allclose(last, state, atol=1e-5) and np.allclose(grads.values, want, rtol=1e-3, atol=1e-3)
+
+
+def test_windows_of_few_lanes_are_learned_and_scored_together(monkeypatch):
+    s, passes, steps = language.DEFAULT, [], []
+    net = language.Network.initial(s, vocabulary(s))
+    kept, moved = language.Network.log_probabilities, language.Adam.move
+    monkeypatch.setattr(language.Network, "log_probabilities", lambda self, *a: passes.append(1) or kept(self, *a))
+    monkeypatch.setattr(language.Adam, "move", lambda self, *a: steps.append(1) or moved(self, *a))
+    for lengths in ([20_000], [200] * 60 + [20_000], [3000] * 300):
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        symbols = np.random.default_rng(5).integers(0, s.symbols, first[-1])
+        stream, want, cells = language.Stream(symbols, first, s.train_lanes, s.symbols - 1), 0, 0
+        for at in range(0, len(stream.live), s.window):
+            cells += stream.live[at : at + s.window].sum()
+            if cells >= s.window * s.train_lanes / 4:
+                want, cells = want + 1, 0
+        passes.clear(), steps.clear()
+        language.train_replica(language.Network(s, net.values.copy()), symbols, first)
+        assert len(steps) == want + (cells > 0)
+        assert len(passes) <= len(steps) + 10
+        passes.clear()
+        language.score_stream(net, symbols, first)
+        assert len(passes) <= first[-1] / (s.window * s.score_lanes / 2) + 12
