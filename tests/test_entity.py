@@ -100,6 +100,27 @@ def test_faults_of_a_model(spark, tmp_path):
     assert {"a bare value where a claim belongs: width", "undeclared predicate height", "within names nothing: site:R9", "vertices names nothing: site:V", "undeclared type Hall", "kind or geometry not permitted by Room", "declared more than once: node", "an edge from a vertex to itself", "a list that is never closed"} <= messages
 
 
+def test_a_file_is_parsed_form_by_form():
+    """What is read of a file is held one form at a time; a file that can not be read to its end states nothing."""
+    forms = sexpr.each("(node site:a) (node site:b) (node")
+    assert next(forms).items[1].value == "site:a" and next(forms).items[1].value == "site:b"
+    with pytest.raises(sexpr.SyntaxFault):
+        next(forms)
+    assert [(t, r["message"]) for t, r in entity.rows_of("x", "(node site:a (kind Space) (type T)) (node")] == [("diagnostics", "a list that is never closed")]
+
+
+def test_files_of_the_table_model_keep_their_size(spark, tmp_path):
+    """A file is parsed and printed whole, so ten times the suppliers are more files and not larger ones."""
+    from ledgerline.plans import table_model
+
+    for name in ("region", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(1000).selectExpr("id as s_suppkey", "id % 25 as s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    table_model._write(spark, str(tmp_path), False, f"file://{tmp_path}/model")
+    sizes = [p.stat().st_size for p in (tmp_path / "model").glob("*.txt")]
+    assert len(sizes) >= 10 and max(sizes) < 1_000_000
+
+
 def test_formatting_a_tree(spark, tmp_path):
     (tmp_path / "a.dfc").write_text(sexpr.formatted(REGISTRY))
     (tmp_path / "b.dfc").write_text(REGISTRY)
