@@ -100,6 +100,24 @@ def test_faults_of_a_model(spark, tmp_path):
     assert {"a bare value where a claim belongs: width", "undeclared predicate height", "within names nothing: site:R9", "vertices names nothing: site:V", "undeclared type Hall", "kind or geometry not permitted by Room", "declared more than once: node", "an edge from a vertex to itself", "a list that is never closed"} <= messages
 
 
+def test_cycles_units_dimensions_and_frames_are_faults(spark, tmp_path):
+    """Rings of containment, of frames and of supersession, wrong units and dimensions, and shapes in two frames."""
+    by = '(source "s") (method m:t) (date "2026-01-01")'
+    (tmp_path / "a.dfc").write_text("\n".join([
+        REGISTRY, '(predicate at (unit m) (shape coordinate) (dimension 2)) (predicate high (unit m) (shape scalar))',
+        '(frame frame:a (unit m) (parent frame:b)) (frame frame:b (unit m) (parent frame:a)) (frame frame:c (unit m) (parent frame:b))',
+        *(f"(node site:{a} (kind Element) (type Room) (within site:{b}))" for a, b in ("XY", "YZ", "ZX", "TX", "SS")),
+        f"(node site:Q (kind Space) (type Room) (high (value 1.0 ft) {by} (id c:1) (rank deprecated) (superseded-by c:2)) (high (value 1.0 m) {by} (id c:2) (rank deprecated) (superseded-by c:1)))",
+        f"(vertex g:1 (frame frame:a) (at (value (1.0 2.0 3.0) m) {by}))(vertex g:2 (frame frame:c))(edge g:3 (frame frame:a) (vertices g:1 g:2))(loop g:4 (frame frame:b) (edges g:3))",
+    ]))
+    found = {(r.subject, r.message) for r in entity.load_model(spark, f"file://{tmp_path}").faults().collect()}
+    assert {
+        ("site:X", "a cycle of containment: site:X, site:Y, site:Z"), ("site:S", "a cycle of containment: site:S"), ("frame:a", "a cycle of frames: frame:a, frame:b"),
+        ("c:1", "a cycle of supersession: c:1, c:2"), ("site:Q", "high is written in m"), ("g:1", "at has components: 2"), ("g:3", "in another frame: g:2"), ("g:4", "in another frame: g:3"),
+    } <= found
+    assert sum("cycle" in m for _, m in found) == 4
+
+
 def test_a_file_is_parsed_form_by_form():
     """What is read of a file is held one form at a time; a file that can not be read to its end states nothing."""
     forms = sexpr.each("(node site:a) (node site:b) (node")
