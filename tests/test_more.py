@@ -55,3 +55,16 @@ def test_revisions(spark, tmp_path):
     assert revisions.unified("a\nb\n", "a\nc\n", "x") == "--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n" and revisions.unified("a", "a", "x") == ""
     with pytest.raises(ValueError, match="."):
         revisions.resolve(str(home), "nothing")
+
+
+def test_a_facet_without_area_holds_nothing(spark):
+    """Corners in one line make a facet that divides by nothing; the facets beside it answer."""
+    from ledgerline.operators import surface
+
+    at = lambda n, x, y: (n, float(x), float(y), 2.0 * x - 3.0 * y, 0.1)
+    flat = ("r", 0, at(1, 0, 0), at(2, 1, 1), at(3, 2, 2), None)
+    solid = ("r", 1, at(1, 0, 0), at(3, 2, 2), at(4, 2, 0), None)
+    corner = "struct<shot:int,x:double,y:double,z:double,sigma:double>"
+    facets = spark.createDataFrame([flat, solid], f"region string, facet int, a {corner}, b {corner}, c {corner}, fault string")
+    asked = spark.createDataFrame([(1, "r", 1.0, 1.0), (2, "r", 1.5, 0.5)], "query int, region string, x double, y double")
+    assert {r.query: round(r.z, 9) for r in surface.elevations(asked, facets).collect()} == {1: -1.0, 2: 1.5}

@@ -126,3 +126,20 @@ def test_assembly(edges, run, fault):
     named = [(e, e[0], e[1]) for e in edges]
     got = plane.assembly(named, run)
     assert got is None if fault is None else fault in got
+
+
+def test_triangles_along_a_front_cover_the_hull():
+    """What is set aside behind the front is what all triangles together give: their areas are the hull's, and no circle holds a point."""
+    rng = random.Random(7)
+    points = list({(rng.randrange(3000) / 100, float(rng.randrange(40))) for _ in range(900)})
+    made = plane.triangulate(points)
+    whole = sum(abs(plane.area([points[i] for i in t])) for t in made)
+    assert whole == pytest.approx(plane.area(plane.hull(points)), rel=1e-6)
+    for t in made[::40]:
+        (ax, ay), (bx, by), (cx, cy) = (points[i] for i in t)
+        d = 2 * ((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
+        if abs(d) < 1e-6:
+            continue
+        b2, c2 = (bx - ax) ** 2 + (by - ay) ** 2, (cx - ax) ** 2 + (cy - ay) ** 2
+        ux, uy = ((cy - ay) * b2 - (by - ay) * c2) / d, ((bx - ax) * c2 - (cx - ax) * b2) / d
+        assert all(math.hypot(x - ax - ux, y - ay - uy) >= math.hypot(ux, uy) * (1 - 1e-6) for x, y in points)
