@@ -262,3 +262,26 @@ def test_scalars(spark):
     assert tuple(got) == ("ns", "a:b", True, None, dt.date(2026, 2, 28), None, 100.0, None)
     assert len(units.global_id("https://example.org", "site:a")) == 22 and units.compressed_uuid(b"\0" * 16) == "0" * 22 and units.compressed_uuid(b"\xff" * 16) == "3" + "$" * 21
     assert units.tree_digest([("b", b"1"), ("a", b"2")]) == units.tree_digest([("a", b"2"), ("b", b"1")]) != units.tree_digest([("a", b"21"), ("b", b"")])
+
+
+def test_adjacency_is_not_dealt_out_pair_by_pair(spark):
+    """Pairs are made where the rows of a node are, with ids of any type; nothing of the size of the pairs is exchanged."""
+    rows = [(f"n{k % 7}", f"e{k % 5}") for k in range(35)] + [("n1", None), (None, "e1")]
+    df = spark.createDataFrame(rows, "node string, edge string")
+    found = graph.adjacent(df)
+    assert {(r.a, r.b, tuple(r.via)) for r in found.collect()} == {(f"n{i}", f"n{j}", tuple(f"e{k}" for k in range(5))) for i in range(7) for j in range(7) if i != j}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.strip().splitlines()[0].lstrip().startswith("MapInArrow") and "Join" not in plan
+
+
+def test_steps_end_where_a_component_is_reached(spark, monkeypatch):
+    """Where every node is next to every other of its component no second step is walked; a chain beside it goes on."""
+    whole = [(a, b) for a in range(6) for b in range(6) if a != b]
+    chain = [(k, k + 1) for k in range(10, 14)]
+    pairs = spark.createDataFrame([(a, b, [0]) for a, b in whole + chain + [(b, a) for a, b in chain]], "a long, b long, via array<long>")
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, name, put=graph.written: made.append(put(df, name)) or made[-1])
+    got = {(r.start, r.node, r.depth) for r in graph.within_steps(pairs, pairs.select(F.col("a").alias("start")), 2).collect()}
+    steps = {(k, k + d, abs(d)) for k in range(10, 15) for d in (-2, -1, 1, 2) if 10 <= k + d <= 14}
+    assert got == {(a, b, 1) for a, b in whole} | steps
+    assert {r.start for df in made if df.columns == ["start"] for r in df.collect()} == {10, 11, 12, 13, 14}
