@@ -137,3 +137,13 @@ def test_commands(spark, root, model, monkeypatch, argv, code, part):
 def test_a_faulty_model_answers_nothing(spark, tmp_path):
     code, text = run(spark, ["list-types", "--root", write(tmp_path / "f", "(node site:R (kind Space) (type Hall))")])
     assert code == 3 and "undeclared type Hall" in text
+
+
+def test_a_moved_end_of_an_open_boundary_is_found(spark, model, tmp_path):
+    """A boundary that does not close has a corner more than edges: each of them may have moved."""
+    open_ = model_text().replace("(edges g:bc g:cd g:de g:be)", "(edges g:bc g:cd g:de)")
+    base = entity.load_model(spark, write(tmp_path / "o", open_))
+    for corner in "d":
+        x, y = CORNERS[corner]
+        head = entity.load_model(spark, write(tmp_path / corner, model_text(CORNERS | {corner: (x + 1, y)}).replace("(edges g:ab g:bc g:cd g:de g:ef g:fa)", "(edges g:ab g:be g:ef g:fa)").replace("(edges g:bc g:cd g:de g:be)", "(edges g:bc g:cd g:de)")))
+        assert ("boundary-moved-without-claim", f"g:{corner}") in {(r.kind, r.subject) for r in q.compare(base, head).collect()}
