@@ -528,7 +528,7 @@ def region_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("region_containment", f"WITH {_MEETING} SELECT a, b, CASE WHEN w * h = 0 THEN 'touching' WHEN w * h = area_a AND w * h = area_b THEN 'coincident' WHEN w * h = area_b THEN 'inside' WHEN w * h = area_a THEN 'surrounds' ELSE 'overlapping' END AS state FROM p")
 def region_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     figs = written(regions.figures(_boxes(spark, sf_dir), 1e-6), "figures")
-    return regions.containment(regions.meeting(figs, figs, 10.0).where("a < b"), 1e-6)
+    return regions.containment_of_all(figs, 1e-6, 10.0)
 
 
 @register("region_figures", f"WITH {_SUPPLIER_BOXES} SELECT k AS figure, round((x1 - x0) * (y1 - y0), 4) AS area, round(2 * (x1 - x0 + y1 - y0), 4) AS perimeter FROM f")

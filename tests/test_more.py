@@ -68,3 +68,14 @@ def test_a_facet_without_area_holds_nothing(spark):
     facets = spark.createDataFrame([flat, solid], f"region string, facet int, a {corner}, b {corner}, c {corner}, fault string")
     asked = spark.createDataFrame([(1, "r", 1.0, 1.0), (2, "r", 1.5, 0.5)], "query int, region string, x double, y double")
     assert {r.query: round(r.z, 9) for r in surface.elevations(asked, facets).collect()} == {1: -1.0, 2: 1.5}
+
+
+def test_equal_shapes_are_decided_once(spark, monkeypatch):
+    """Figures with the same rings have one answer: 40 figures of 4 shapes are 16 pairs of shapes, whatever the pairs of figures."""
+    boxes = [(k, 0, n, x + dx * 2.0, 0.0 + dy * 2.0) for k in range(40) for x in [float(k % 4)] for n, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))]
+    figs = regions.figures(spark.createDataFrame(boxes, "figure int, ring int, ord int, x double, y double"), 1e-6)
+    sizes = []
+    monkeypatch.setattr(regions, "containment", lambda pairs, t, f=regions.containment: sizes.append(pairs.count()) or f(pairs, t))
+    got = {(r.a, r.b): r.state for r in regions.containment_of_all(figs, 1e-6, 10.0).collect()}
+    state = {0: "coincident", 1: "overlapping", 2: "touching"}
+    assert got == {(a, b): state[abs(a % 4 - b % 4)] for a in range(40) for b in range(a + 1, 40) if abs(a % 4 - b % 4) < 3} and sizes[0] <= 16

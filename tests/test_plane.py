@@ -143,3 +143,24 @@ def test_triangles_along_a_front_cover_the_hull():
         b2, c2 = (bx - ax) ** 2 + (by - ay) ** 2, (cx - ax) ** 2 + (cy - ay) ** 2
         ux, uy = ((cy - ay) * b2 - (by - ay) * c2) / d, ((bx - ax) * c2 - (cx - ax) * b2) / d
         assert all(math.hypot(x - ax - ux, y - ay - uy) >= math.hypot(ux, uy) * (1 - 1e-6) for x, y in points)
+
+
+def test_convex_answers_are_those_of_the_overlay(monkeypatch):
+    """Half planes give what the overlay gives: containment of convex pairs, and what setbacks leave of convex plots."""
+    rng = random.Random(5)
+    boxes = [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)] for x, y, w, h in [tuple(float(rng.randrange(1, 6)) for _ in range(4)) for _ in range(14)]]
+    rounds = [plane.hull([(rng.uniform(0, 8), rng.uniform(0, 8)) for _ in range(7)]) for _ in range(6)]
+    pairs = [(a, b) for a in boxes + rounds for b in boxes + rounds]
+    fast = [plane.containment([a], [b], 1e-6) for a, b in pairs]
+    assert sum(plane._plain_containment(a, b, 1e-6) is not None for a, b in pairs) > 150
+    monkeypatch.setattr(plane, "_plain_containment", lambda *_: None)
+    assert fast == [plane.containment([a], [b], 1e-6) for a, b in pairs]
+    for ring in boxes[:4] + rounds:
+        for widths in ([0.4] * len(ring), [0.7, *[0.2] * (len(ring) - 1)]):
+            own = [(a, b, w) for (a, b), w in zip(plane.sides([ring]), widths, strict=True)]
+            left = plane.inset(ring, own, 1e-3)
+            if left is not None:
+                strips = [r for a, b, w in own for r in plane.strip(a, b, w, 1e-3)]
+                slow = plane.arrange([[ring], strips], lambda c: c[0] and not c[1], 1e-3)
+                assert plane.figure_area(left) == pytest.approx(plane.figure_area(slow), abs=0.02)
+    assert plane.inset(boxes[0], [(*boxes[0][:2], 0.5)], 1e-3) is not None
